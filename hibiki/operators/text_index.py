@@ -102,11 +102,18 @@ def build_text_index(
     docs: DataFrame, path: str, key: str = "id", text: str = "text", attributes: Sequence[str] = ()
 ) -> TextIndex:
     """Index a table of passages from nothing."""
+    store_passages(docs, path, key, text, attributes)
+    return refresh_text_index(docs.sparkSession, path)
+
+
+def store_passages(
+    docs: DataFrame, path: str, key: str = "id", text: str = "text", attributes: Sequence[str] = ()
+) -> None:
+    """The first two tables of a new index; more may be added before it is refreshed."""
     parts = min(MAX_ID_PARTS, docs.count() // IDS_PER_PART + 1)
     members = _members(docs, key, text, attributes, parts)
     _tokenise(members).write.mode("overwrite").parquet(f"{path}/tokens")
     _write_members(members.drop("text"), path)
-    return refresh_text_index(docs.sparkSession, path)
 
 
 def _write_members(members: DataFrame, path: str) -> None:
