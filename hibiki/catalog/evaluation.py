@@ -220,7 +220,7 @@ def _safety(words: dict[str, list[str]]) -> str:
       WHEN {_any('response', words['safety'])} THEN 3 ELSE 2 END"""
 
 
-_TIER = """CASE WHEN len(p) = 0 THEN 3 ELSE CASE len(list_filter(p, lambda x: NOT list_contains(
+_TIER = """CASE WHEN len(p) = 0 THEN 3 ELSE CASE len(list_filter(list_distinct(p), lambda x: NOT list_contains(
       CASE tier WHEN 'gold' THEN [10, 20] WHEN 'silver' THEN [5, 10, 15] WHEN 'standard' THEN [0]
         ELSE [] END, x))) WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END END"""
 _PERCENT = "list_transform(regexp_extract_all({c}, '([0-9]+)\\s*%', 1), lambda x: x::INTEGER)"

@@ -53,7 +53,8 @@ def align(answers: DataFrame, expected: DataFrame, key: str = "request_id") -> D
 def token_counts(rows: DataFrame, key: str, texts: dict[str, Column]) -> DataFrame:
     """How often each token occurs in each text of a row: (key, token, one column per text).
 
-    The texts of a row are counted together, so all measures share one shuffle.
+    The texts of a row are counted together, so measures share one shuffle. A row without any
+    token keeps one line, with a null.
     """
     def marked(name: str, text: Column) -> Column:
         return F.transform(
@@ -61,7 +62,7 @@ def token_counts(rows: DataFrame, key: str, texts: dict[str, Column]) -> DataFra
         )
 
     parts = [marked(name, text) for name, text in texts.items()]
-    counted = rows.select(key, F.explode(F.concat(*parts)).alias("t")).groupBy(
+    counted = rows.select(key, F.explode_outer(F.concat(*parts)).alias("t")).groupBy(
         key, F.col("t.token").alias("token")
     )
     return counted.agg(
@@ -70,22 +71,41 @@ def token_counts(rows: DataFrame, key: str, texts: dict[str, Column]) -> DataFra
 
 
 def _ratio(a: Column, b: Column) -> Column:
-    return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    return F.round(F.when(b > 0, a / b).otherwise(F.lit(0.0)), DIGITS)
+
+
+def _overlap() -> dict[str, Column]:
+    same, r, e = F.sum(F.least("r", "e")), F.sum("r"), F.sum("e")
+    return {
+        "precision": _ratio(same, r), "recall": _ratio(same, e), "f1": _ratio(2 * same, r + e)
+    }
+
+
+def _cosine() -> Column:
+    square = F.col("idf") * F.col("idf")
+
+    def dot(a: str, b: str) -> Column:
+        return F.sum(F.col(a) * F.col(b) * square)
+
+    return _ratio(dot("q", "r"), F.sqrt(dot("q", "q")) * F.sqrt(dot("r", "r")))
+
+
+def _support() -> Column:
+    return _ratio(F.sum(F.when(F.col("c") > 0, F.col("r")).otherwise(0)), F.sum("r"))
+
+
+def _with_idf(counts: DataFrame, index: TextIndex) -> DataFrame:
+    unseen = F.lit(1.0) + F.log(F.lit(float(index.n_docs + 1)))
+    return counts.join(index.vocab.select("token", "idf"), "token", "left").withColumn(
+        "idf", F.coalesce(F.col("idf"), unseen)
+    )
 
 
 def token_f1(rows: DataFrame, key: str, response: str, expected: str) -> DataFrame:
     """Overlap of tokens, each counted as often as both texts have it:
-    (key, precision, recall, f1)."""
+    (key, precision, recall, f1). The key must be unique."""
     counts = token_counts(rows, key, {"r": F.col(response), "e": F.col(expected)})
-    sums = counts.groupBy(key).agg(
-        F.sum(F.least("r", "e")).alias("same"), F.sum("r").alias("r"), F.sum("e").alias("e")
-    )
-    return rows.select(key).join(sums, key, "left").select(
-        key,
-        F.round(_ratio(F.col("same"), F.col("r")), DIGITS).alias("precision"),
-        F.round(_ratio(F.col("same"), F.col("e")), DIGITS).alias("recall"),
-        F.round(_ratio(2 * F.col("same"), F.col("r") + F.col("e")), DIGITS).alias("f1"),
-    )
+    return counts.groupBy(key).agg(*[c.alias(n) for n, c in _overlap().items()])
 
 
 def exact_match(response: Column, expected: Column) -> Column:
@@ -98,31 +118,28 @@ def lexical_relevance(
 ) -> DataFrame:
     """TF-IDF cosine of question and response, with the rarity of the index: (key, relevance)."""
     counts = token_counts(rows, key, {"q": F.col(question), "r": F.col(response)})
-    idf = F.coalesce(F.col("idf"), F.lit(1.0) + F.log(F.lit(float(index.n_docs + 1))))
-    square = idf * idf
-    sums = (
-        counts.join(index.vocab.select("token", "idf"), "token", "left")
-        .groupBy(key)
-        .agg(
-            F.sum(F.col("q") * F.col("r") * square).alias("dot"),
-            F.sqrt(F.sum(F.col("q") * F.col("q") * square)).alias("q"),
-            F.sqrt(F.sum(F.col("r") * F.col("r") * square)).alias("r"),
-        )
-    )
-    return rows.select(key).join(sums, key, "left").select(
-        key, F.round(_ratio(F.col("dot"), F.col("q") * F.col("r")), DIGITS).alias("relevance")
-    )
+    return _with_idf(counts, index).groupBy(key).agg(_cosine().alias("relevance"))
 
 
 def context_support(rows: DataFrame, key: str, response: str, context: str) -> DataFrame:
     """Share of the response's tokens that the context has too: (key, support)."""
     counts = token_counts(rows, key, {"r": F.col(response), "c": F.col(context)})
-    sums = counts.groupBy(key).agg(
-        F.sum(F.when(F.col("c") > 0, F.col("r")).otherwise(0)).alias("in_context"),
-        F.sum("r").alias("r"),
+    return counts.groupBy(key).agg(_support().alias("support"))
+
+
+def lexical_measures(
+    rows: DataFrame, key: str, question: str, response: str, expected: str, context: str,
+    index: TextIndex,
+) -> DataFrame:
+    """All of the above from one count: (key, precision, recall, f1, relevance, support)."""
+    counts = token_counts(
+        rows, key,
+        {"q": F.col(question), "r": F.col(response), "e": F.col(expected), "c": F.col(context)},
     )
-    return rows.select(key).join(sums, key, "left").select(
-        key, F.round(_ratio(F.col("in_context"), F.col("r")), DIGITS).alias("support")
+    return _with_idf(counts, index).groupBy(key).agg(
+        *[c.alias(n) for n, c in _overlap().items()],
+        _cosine().alias("relevance"),
+        _support().alias("support"),
     )
 
 

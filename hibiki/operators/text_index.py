@@ -157,8 +157,11 @@ def apply_changes(
     rows = kept.unionByName(new.drop("text"))
     # A bucket whose last passage is deleted has no rows to overwrite it with: keep its place
     # with a row that names no passage.
-    empty = spark.createDataFrame([(b, parts) for b in touched], "bucket int, parts int")
-    rows = rows.unionByName(empty, allowMissingColumns=True)
+    if touched:
+        empty = spark.range(1).select(
+            F.explode(F.array(*map(F.lit, touched))).alias("bucket"), F.lit(parts).alias("parts")
+        )
+        rows = rows.unionByName(empty, allowMissingColumns=True)
     _write_members(rows, path)
 
 
@@ -227,9 +230,8 @@ def refresh_text_index(spark: SparkSession, path: str) -> TextIndex:
         .write.mode("overwrite")
         .parquet(f"{path}/champions")
     )
-    spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(
-        f"{path}/layout"
-    )
+    layout = spark.range(1).select(F.lit(buckets).alias("buckets"))
+    layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
     return open_text_index(spark, path)
 
 

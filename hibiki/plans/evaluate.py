@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hibiki.functions.scores import safety_rule, tier_rule
@@ -12,15 +12,13 @@ from hibiki.operators.evaluation import (
     Example,
     Metric,
     MetricRegistry,
-    context_support,
     exact_match,
-    lexical_relevance,
+    lexical_measures,
     long_scores,
     low_counts,
     low_report,
     metric_summary,
     summary_lines,
-    token_f1,
 )
 from hibiki.operators.text_index import TextIndex
 
@@ -69,27 +67,20 @@ def evaluate(
 
     Shares between 0 and 1 are put on the scale of 1 to 5, so that one limit fits all.
     """
-    def scaled(df: DataFrame, column: str, name: str) -> DataFrame:
-        return df.select(key, (1 + 4 * F.col(column)).alias(f"{name}/score"))
+    def scaled(column: Column) -> Column:
+        return 1 + 4 * column.cast("double")
 
-    f1 = scaled(token_f1(rows, key, "response", "expected_response"), "f1", "token_f1")
-    relevance = scaled(
-        lexical_relevance(rows, key, "question", "response", index), "relevance",
-        "lexical_relevance",
-    )
-    support = scaled(
-        context_support(rows, key, "response", "ground_truth_context"), "support",
-        "context_support",
+    measures = lexical_measures(
+        rows, key, "question", "response", "expected_response", "ground_truth_context", index
+    ).select(
+        key,
+        scaled(F.col("f1")).alias("token_f1/score"),
+        scaled(F.col("relevance")).alias("lexical_relevance/score"),
+        scaled(F.col("support")).alias("context_support/score"),
     )
+    same = exact_match(F.col("response"), F.col("expected_response"))
     table = (
-        metrics.score(rows)
-        .withColumn(
-            "exact_match/score",
-            (1 + 4 * exact_match(F.col("response"), F.col("expected_response"))).cast("double"),
-        )
-        .join(f1, key)
-        .join(relevance, key)
-        .join(support, key)
+        metrics.score(rows).withColumn("exact_match/score", scaled(same)).join(measures, key)
     )
     long = long_scores(table, [key, "question"])
     summary = metric_summary(long)

@@ -53,12 +53,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def write_out(df: DataFrame, name: str) -> DataFrame:
+def write_out(df: DataFrame, name: str, *partition: str) -> DataFrame:
     """Write a table that several later steps read, and return it read back.
 
     The files survive the loss of an executor, and later plans start from them.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -94,7 +94,9 @@ def feedback_per_day(
     changed, and the newest line of a day counts.
     """
     counted = (
-        feedback.withWatermark(time, C.FEEDBACK_LATENESS)
+        # A watermark needs an instant; clock times count as the session's time zone.
+        feedback.withColumn(time, F.col(time).cast("timestamp"))
+        .withWatermark(time, C.FEEDBACK_LATENESS)
         .groupBy(F.window(time, "1 day"))
         .agg(F.count_if(is_up).alias("up"), F.count_if(is_down).alias("down"))
         .select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "up", "down")
