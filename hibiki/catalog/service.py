@@ -298,8 +298,8 @@ SQL = {
     "feedback_counts": """SELECT strftime(ts, '%Y-%m-%d') AS day,
         count(*) FILTER (event_type = 'purchase') AS up,
         count(*) FILTER (event_type = 'error') AS down FROM events GROUP BY 1""",
-    "round_cap": """SELECT user_id, event_id, event_type, round FROM (SELECT *, dense_rank()
-        OVER (PARTITION BY user_id ORDER BY ts) AS round FROM events) WHERE round <= 5""",
+    "round_cap": """SELECT user_id, event_id, event_type, round FROM (SELECT *, (dense_rank()
+        OVER (PARTITION BY user_id ORDER BY ts))::INTEGER AS round FROM events) WHERE round <= 5""",
     "parse_args": S.with_(S.CALLS) + f"SELECT call_id, name, {', '.join(_ARGS)} FROM calls",
     "args_check": S.with_(S.CALLS) + "SELECT call_id, name, violations FROM checked",
     "booking_rows": S.with_(S.CALLS) + """SELECT call_id, booking_id, 'confirmed' AS status,

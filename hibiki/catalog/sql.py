@@ -31,11 +31,12 @@ PAIRS = """pairs AS (SELECT u.conv_id || '-' || u.turn AS request_id,
         WHERE role = 'assistant' GROUP BY conv_id) l ON l.conv_id = u.conv_id
   LEFT JOIN documents d ON d.doc_id = u.conv_id
   WHERE u.role = 'user')"""
-SCORES = """scores AS (SELECT doc_id, 1.0 + 4 * quality AS quality, 5.0 - 4 * toxic AS safety,
-  CASE WHEN toxic = 0 THEN 1.0 + 2.5 * quality END AS relevance FROM labels),
-long AS (SELECT doc_id, 'quality/score' AS metric, quality::DOUBLE AS score FROM scores
-  UNION ALL SELECT doc_id, 'safety/score', safety::DOUBLE FROM scores
-  UNION ALL SELECT doc_id, 'relevance/score', relevance::DOUBLE FROM scores)"""
+SCORES = """scores AS (SELECT doc_id, (1.0 + 4 * quality)::DOUBLE AS quality,
+  (5.0 - 4 * toxic)::DOUBLE AS safety,
+  CASE WHEN toxic = 0 THEN 1.0 + 2.5 * quality END::DOUBLE AS relevance FROM labels),
+long AS (SELECT doc_id, 'quality/score' AS metric, quality AS score FROM scores
+  UNION ALL SELECT doc_id, 'safety/score', safety FROM scores
+  UNION ALL SELECT doc_id, 'relevance/score', relevance FROM scores)"""
 CALLS = """calls AS (SELECT user_id AS request_id, (k // 15 + 1)::INTEGER AS round,
   event_id AS call_id,
   CASE event_type WHEN 'click' THEN 'get_customer_info' WHEN 'view' THEN 'get_vehicle_info'
@@ -106,8 +107,8 @@ def ranked(name: str, index: str, source: str, key: str) -> str:
 
 def best(name: str, source: str, k: int, where: str = "true", keys: str = "q") -> str:
     """The first k of each request."""
-    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER
-  (PARTITION BY {keys} ORDER BY score DESC, id) AS rank FROM {source} WHERE {where})
+    return f"""{name} AS (SELECT * FROM (SELECT *, (row_number() OVER
+  (PARTITION BY {keys} ORDER BY score DESC, id))::INTEGER AS rank FROM {source} WHERE {where})
   WHERE rank <= {k})"""
 
 
