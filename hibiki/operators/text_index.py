@@ -6,12 +6,12 @@ Files below one folder:
                is one distinct (text, attributes), so copies are indexed once however many
                there are. Partitioned by a hash of the id, so a sync rewrites only the parts
                that hold changed ids.
-``tokens``     (unit, tokens)  tokenised text per unit. Units are named by a hash of their
-               content: a sync only appends units that are new.
+``tokens``     (unit, tokens)  tokenised text per unit, in buckets by unit. Units are named by
+               a hash of their content: a sync only appends units that are new.
 ``vocab``      (token, df, idf, shards)  df counts passages, copies included. Joins that shuffle
                on tokens cut a frequent token into that many shards of bounded size.
-``weights``    (doc, token, tf, w, attributes)  unit-length TF-IDF weights; ``doc`` is the
-               smallest id of the unit. Bucketed by doc and sorted by token: sums per passage
+``weights``    (doc, token, tf, w, shards, attributes)  unit-length TF-IDF weights; ``doc`` is
+               the smallest id of the unit. In buckets by doc, sorted by token: sums per passage
                need no shuffle of the index.
 ``champions``  the passages with the largest weights per token.
 ``copies``     (doc, id, attributes)  every passage with the smallest id of its unit.
@@ -21,22 +21,29 @@ The first two are kept by syncs, the others follow from them (``refresh_text_ind
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hibiki.functions.text import tokens
 from hibiki.operators.ranking import best_per_key
+from hibiki.session import (
+    buckets_of,
+    read_buckets,
+    small_enough,
+    table_exists,
+    write_buckets,
+)
 
 SHARD_ROWS = 200_000
 CHAMPIONS = 32
 IDS_PER_PART = 1_000_000
 MAX_ID_PARTS = 4096
-WEIGHTS_PER_BUCKET = 4_000_000
+UNITS_PER_BUCKET = 200_000
+# About 200 MB in every executor; beyond it the vocabulary is joined with a shuffle.
+BROADCAST_VOCABULARY = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -65,16 +72,6 @@ def one_text_per_unit(df: DataFrame, unit: str, text: str, keep: Sequence[str] =
     return df.groupBy(unit).agg(*[F.first(c).alias(c) for c in [text, *keep]])
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
-        raise
-
-
 def _id_part(key: str, parts: int):
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("bucket")
 
@@ -110,9 +107,11 @@ def store_passages(
     docs: DataFrame, path: str, key: str = "id", text: str = "text", attributes: Sequence[str] = ()
 ) -> None:
     """The first two tables of a new index; more may be added before it is refreshed."""
-    parts = min(MAX_ID_PARTS, docs.count() // IDS_PER_PART + 1)
+    n_docs = docs.count()
+    parts = min(MAX_ID_PARTS, n_docs // IDS_PER_PART + 1)
     members = _members(docs, key, text, attributes, parts)
-    _tokenise(members).write.mode("overwrite").parquet(f"{path}/tokens")
+    buckets = n_docs // UNITS_PER_BUCKET + docs.sparkSession.sparkContext.defaultParallelism
+    write_buckets(_tokenise(members), f"{path}/tokens", "unit", buckets, "unit")
     _write_members(members.drop("text"), path)
 
 
@@ -145,8 +144,12 @@ def apply_changes(
     parts = old.select("parts").first().parts
     new = _members(docs, key, text, attributes, parts)
     # New content first: members never name a unit that has no tokens.
-    known = spark.read.parquet(f"{path}/tokens").select("unit")
-    _tokenise(new.join(known, "unit", "left_anti")).write.mode("append").parquet(f"{path}/tokens")
+    stored = f"{path}/tokens"
+    known = read_buckets(spark, stored).select("unit")
+    write_buckets(
+        _tokenise(new.join(known, "unit", "left_anti")), stored, "unit",
+        buckets_of(spark, stored), "unit", append=True,
+    )
 
     changed = new.select("id", "bucket")
     if deleted is not None:
@@ -181,19 +184,10 @@ def refresh_text_index(spark: SparkSession, path: str) -> TextIndex:
         .write.mode("overwrite")
         .parquet(f"{path}/copies")
     )
-    # Exploded and counted where the unit's row lies: grouping by the unit needs no new shuffle.
-    counts = (
-        spark.read.parquet(f"{path}/tokens")
-        .join(units, "unit")
-        .select("unit", "doc", "n_copies", *attributes, F.explode("tokens").alias("token"))
-        .groupBy("unit", "doc", "n_copies", *attributes, "token")
-        .agg(F.count("*").alias("tf"))
-    )
-    counts.drop("unit").write.mode("overwrite").parquet(f"{path}/counts")
-    counts = spark.read.parquet(f"{path}/counts")
-
+    tokenised = read_buckets(spark, f"{path}/tokens").join(units, "unit")
     (
-        counts.groupBy("token")
+        tokenised.select("n_copies", F.explode(F.array_distinct("tokens")).alias("token"))
+        .groupBy("token")
         .agg(F.sum("n_copies").alias("df"), F.count("*").alias("n_units"))
         .select(
             "token",
@@ -205,64 +199,43 @@ def refresh_text_index(spark: SparkSession, path: str) -> TextIndex:
         .parquet(f"{path}/vocab")
     )
     vocab = spark.read.parquet(f"{path}/vocab")
+    rarity = vocab.select("token", "idf", "shards")
+    broadcast = small_enough(vocab, BROADCAST_VOCABULARY)
+    if broadcast:
+        rarity = F.broadcast(rarity)
 
     raw = F.col("tf") * F.col("idf")
-    buckets = counts.count() // WEIGHTS_PER_BUCKET + spark.sparkContext.defaultParallelism
-    spark.sql(f"DROP TABLE IF EXISTS {_table_of(path)}")
-    (
-        counts.join(vocab.select("token", "idf"), "token")
-        # The one shuffle by doc serves the norm and the buckets.
-        .repartition(buckets, "doc")
+    buckets = buckets_of(spark, f"{path}/tokens")
+    # The one shuffle of the token lists, by doc, serves the counts, the norms and the buckets.
+    weights = (
+        tokenised.repartition(buckets, "doc")
+        .select("doc", *attributes, F.explode("tokens").alias("token"))
+        .groupBy("doc", *attributes, "token")
+        .agg(F.count("*").alias("tf"))
+        .join(rarity, "token")
         .withColumn("norm", F.sqrt(F.sum(raw * raw).over(Window.partitionBy("doc"))))
-        .select("doc", "token", "tf", (raw / F.col("norm")).alias("w"), *attributes)
-        .write.mode("overwrite")
-        .bucketBy(buckets, "doc")
-        .sortBy("token")
-        .option("path", f"{path}/weights")
-        .saveAsTable(_table_of(path))
+        .select("doc", "token", "tf", (raw / F.col("norm")).alias("w"), "shards", *attributes)
+    )
+    weights = write_buckets(
+        weights, f"{path}/weights", "doc", buckets, "token", placed=broadcast
     )
     (
         best_per_key(
-            spark.table(_table_of(path)).drop("tf"), ["token"], [F.desc("w"), F.asc("doc")],
-            CHAMPIONS,
+            weights.drop("tf", "shards"), ["token"], [F.desc("w"), F.asc("doc")], CHAMPIONS
         )
         .drop("rank")
         .write.mode("overwrite")
         .parquet(f"{path}/champions")
     )
-    layout = spark.range(1).select(F.lit(buckets).alias("buckets"))
-    layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
     return open_text_index(spark, path)
 
 
-def _table_of(path: str) -> str:
-    """Buckets are known to Spark through a table; it is named after the folder."""
-    return "weights_" + re.sub(r"\W+", "_", path.rstrip("/")).strip("_").lower()
-
-
-def _bucketed_weights(spark: SparkSession, path: str) -> DataFrame:
-    """The weights as a bucketed table, declared again in a session that does not know it."""
-    table = _table_of(path)
-    if not spark.catalog.tableExists(table):
-        buckets = spark.read.parquet(f"{path}/layout").first().buckets
-        columns = ", ".join(
-            f"`{f.name}` {f.dataType.simpleString()}"
-            for f in spark.read.parquet(f"{path}/weights").schema
-        )
-        spark.sql(
-            f"CREATE TABLE {table} ({columns}) USING parquet "
-            f"CLUSTERED BY (doc) SORTED BY (token) INTO {buckets} BUCKETS "
-            f"LOCATION '{path}/weights'"
-        )
-    return spark.table(table)
-
-
 def open_text_index(spark: SparkSession, path: str) -> TextIndex:
     members = spark.read.parquet(f"{path}/members")
     copies = spark.read.parquet(f"{path}/copies")
     return TextIndex(
         path=path,
-        weights=_bucketed_weights(spark, path),
+        weights=read_buckets(spark, f"{path}/weights"),
         vocab=spark.read.parquet(f"{path}/vocab"),
         champions=spark.read.parquet(f"{path}/champions"),
         copies=copies,

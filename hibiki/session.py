@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -62,3 +65,81 @@ def write_out(df: DataFrame, name: str, *partition: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.partitionBy(*partition).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+        return True
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+
+
+def _bucket_table(path: str) -> str:
+    """Spark knows buckets through a table only; it is named after the folder."""
+    return "bucketed_" + re.sub(r"\W+", "_", path.rstrip("/")).strip("_").lower()
+
+
+def write_buckets(
+    df: DataFrame,
+    path: str,
+    column: str,
+    buckets: int,
+    sort: str,
+    append: bool = False,
+    placed: bool = False,
+) -> DataFrame:
+    """Write rows into buckets by a hash of a column, one file per bucket and write.
+
+    Later joins and sums by that column start from the files without a shuffle. ``placed``
+    says that the rows are already partitioned by the column into that many partitions.
+    """
+    spark = df.sparkSession
+    if append:
+        read_buckets(spark, path)
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {_bucket_table(path)}")
+        layout = spark.range(1).select(
+            F.lit(column).alias("column"), F.lit(buckets).alias("buckets"), F.lit(sort).alias("sort")
+        )
+        layout.coalesce(1).write.mode("overwrite").parquet(f"{path}-layout")
+    if not placed:
+        df = df.repartition(buckets, column)
+    (
+        df.write.mode("append" if append else "overwrite")
+        .format("parquet")
+        .bucketBy(buckets, column)
+        .sortBy(sort)
+        .option("path", path)
+        .saveAsTable(_bucket_table(path))
+    )
+    return spark.table(_bucket_table(path))
+
+
+def buckets_of(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(f"{path}-layout").first().buckets
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """The rows in their buckets, also in a session that did not write them."""
+    table = _bucket_table(path)
+    if spark.catalog.tableExists(table):
+        # Another session, such as a stream's, may have added files.
+        spark.catalog.refreshTable(table)
+    else:
+        layout = spark.read.parquet(f"{path}-layout").first()
+        columns = ", ".join(
+            f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema
+        )
+        spark.sql(
+            f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({layout['column']}) "
+            f"SORTED BY ({layout['sort']}) INTO {layout['buckets']} BUCKETS LOCATION '{path}'"
+        )
+    return spark.table(table)
+
+
+def small_enough(df: DataFrame, rows: int) -> bool:
+    """Whether a stored table has at most so many rows, and may be broadcast."""
+    return df.count() <= rows

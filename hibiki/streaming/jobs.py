@@ -21,8 +21,8 @@ from hibiki.operators.text_index import (
     open_text_index,
     refresh_text_index,
     store_passages,
-    table_exists,
 )
+from hibiki.session import table_exists
 
 
 def read_files(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
