@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hibiki import constants as C
-from hibiki.operators.text_index import TextIndex, build_text_index
+from hibiki.operators.text_index import TextIndex, build_text_index, open_text_index
 from hibiki.session import configure, new_path
 
 TABLES = [
@@ -190,7 +190,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_indexes: dict[tuple, TextIndex] = {}
+_indexes: dict[tuple, str] = {}
 
 
 def kb_index(spark: SparkSession, sf_dir: str) -> TextIndex:
@@ -205,11 +205,11 @@ def case_index(spark: SparkSession, sf_dir: str) -> TextIndex:
 def _index(spark, sf_dir, name, docs, key, attributes) -> TextIndex:
     configure(spark)
     known = (spark.sparkContext.applicationId, sf_dir, name)
-    if known not in _indexes:
-        _indexes[known] = build_text_index(
-            docs(), new_path(spark, name), key, "text", attributes
-        )
-    return _indexes[known]
+    if known in _indexes:
+        return open_text_index(spark, _indexes[known])
+    index = build_text_index(docs(), new_path(spark, name), key, "text", attributes)
+    _indexes[known] = index.path
+    return index
 
 
 def forget_indexes() -> None:

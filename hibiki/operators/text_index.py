@@ -42,6 +42,7 @@ CHAMPIONS = 32
 IDS_PER_PART = 1_000_000
 MAX_ID_PARTS = 4096
 UNITS_PER_BUCKET = 200_000
+MAX_BUCKETS = 100_000
 # About 200 MB in every executor; beyond it the vocabulary is joined with a shuffle.
 BROADCAST_VOCABULARY = 2_000_000
 
@@ -111,6 +112,7 @@ def store_passages(
     parts = min(MAX_ID_PARTS, n_docs // IDS_PER_PART + 1)
     members = _members(docs, key, text, attributes, parts)
     buckets = n_docs // UNITS_PER_BUCKET + docs.sparkSession.sparkContext.defaultParallelism
+    buckets = min(MAX_BUCKETS, buckets)
     write_buckets(_tokenise(members), f"{path}/tokens", "unit", buckets, "unit")
     _write_members(members.drop("text"), path)
 

@@ -51,10 +51,12 @@ def sync_index_from_stream(
     def upsert(batch: DataFrame, batch_id: int) -> None:
         if newest:
             batch = latest_per_key(batch, [key], newest)
+        batch = batch.persist()
         if table_exists(spark, f"{path}/members"):
             apply_changes(batch, path, None, key, text, attributes)
         else:
             store_passages(batch, path, key, text, attributes)
+        batch.unpersist()
 
     query = (
         passages.writeStream.foreachBatch(upsert)
