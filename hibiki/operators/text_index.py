@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from hibiki.functions.text import tokens
 from hibiki.operators.ranking import best_per_key
 from hibiki.session import (
+    append_buckets,
     buckets_of,
     read_buckets,
     small_enough,
@@ -146,12 +147,8 @@ def apply_changes(
     parts = old.select("parts").first().parts
     new = _members(docs, key, text, attributes, parts)
     # New content first: members never name a unit that has no tokens.
-    stored = f"{path}/tokens"
-    known = read_buckets(spark, stored).select("unit")
-    write_buckets(
-        _tokenise(new.join(known, "unit", "left_anti")), stored, "unit",
-        buckets_of(spark, stored), "unit", append=True,
-    )
+    known = read_buckets(spark, f"{path}/tokens").select("unit")
+    append_buckets(_tokenise(new.join(known, "unit", "left_anti")), f"{path}/tokens")
 
     changed = new.select("id", "bucket")
     if deleted is not None:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import re
+import hashlib
 import shutil
 import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 SETTINGS = {
@@ -77,65 +77,71 @@ def table_exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def _bucket_table(path: str) -> str:
-    """Spark knows buckets through a table only; it is named after the folder."""
-    return "bucketed_" + re.sub(r"\W+", "_", path.rstrip("/")).strip("_").lower()
+def _layout(spark: SparkSession, path: str) -> Row:
+    return spark.read.parquet(f"{path}-layout").first()
+
+
+def _bucket_table(path: str, layout: Row) -> str:
+    """Spark knows buckets through a table only. Its name covers folder, columns and buckets, so
+    that a session never reads files with the layout of older ones."""
+    return "bucketed_" + hashlib.md5(f"{path} {tuple(layout)}".encode()).hexdigest()
 
 
 def write_buckets(
-    df: DataFrame,
-    path: str,
-    column: str,
-    buckets: int,
-    sort: str,
-    append: bool = False,
-    placed: bool = False,
+    df: DataFrame, path: str, column: str, buckets: int, sort: str, placed: bool = False
 ) -> DataFrame:
-    """Write rows into buckets by a hash of a column, one file per bucket and write.
+    """Write rows into buckets by a hash of a column.
 
     Later joins and sums by that column start from the files without a shuffle. ``placed``
     says that the rows are already partitioned by the column into that many partitions.
     """
     spark = df.sparkSession
-    if append:
-        read_buckets(spark, path)
-    else:
-        spark.sql(f"DROP TABLE IF EXISTS {_bucket_table(path)}")
-        layout = spark.range(1).select(
-            F.lit(column).alias("column"), F.lit(buckets).alias("buckets"), F.lit(sort).alias("sort")
-        )
-        layout.coalesce(1).write.mode("overwrite").parquet(f"{path}-layout")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    layout = Row(column=column, buckets=buckets, sort=sort, columns=columns)
+    table = _bucket_table(path, layout)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    _save_buckets(df, path, layout, "overwrite", placed)
+    values = [F.lit(value).alias(name) for name, value in layout.asDict().items()]
+    spark.range(1).select(*values).coalesce(1).write.mode("overwrite").parquet(f"{path}-layout")
+    return spark.table(table)
+
+
+def append_buckets(df: DataFrame, path: str) -> None:
+    """Add rows to the buckets."""
+    spark = df.sparkSession
+    read_buckets(spark, path)
+    _save_buckets(df, path, _layout(spark, path), "append", False)
+
+
+def _save_buckets(df: DataFrame, path: str, layout: Row, mode: str, placed: bool) -> None:
     if not placed:
-        df = df.repartition(buckets, column)
+        df = df.repartition(layout.buckets, layout.column)
     (
-        df.write.mode("append" if append else "overwrite")
+        df.write.mode(mode)
         .format("parquet")
-        .bucketBy(buckets, column)
-        .sortBy(sort)
+        .bucketBy(layout.buckets, layout.column)
+        .sortBy(layout.sort)
         .option("path", path)
-        .saveAsTable(_bucket_table(path))
+        .saveAsTable(_bucket_table(path, layout))
     )
-    return spark.table(_bucket_table(path))
 
 
 def buckets_of(spark: SparkSession, path: str) -> int:
-    return spark.read.parquet(f"{path}-layout").first().buckets
+    return _layout(spark, path).buckets
 
 
 def read_buckets(spark: SparkSession, path: str) -> DataFrame:
     """The rows in their buckets, also in a session that did not write them."""
-    table = _bucket_table(path)
+    layout = _layout(spark, path)
+    table = _bucket_table(path, layout)
     if spark.catalog.tableExists(table):
         # Another session, such as a stream's, may have added files.
         spark.catalog.refreshTable(table)
     else:
-        layout = spark.read.parquet(f"{path}-layout").first()
-        columns = ", ".join(
-            f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema
-        )
         spark.sql(
-            f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({layout['column']}) "
-            f"SORTED BY ({layout['sort']}) INTO {layout['buckets']} BUCKETS LOCATION '{path}'"
+            f"CREATE TABLE {table} ({layout.columns}) USING parquet "
+            f"CLUSTERED BY ({layout.column}) SORTED BY ({layout.sort}) "
+            f"INTO {layout.buckets} BUCKETS LOCATION '{path}'"
         )
     return spark.table(table)
 

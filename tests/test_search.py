@@ -177,8 +177,9 @@ def test_removing_everything(spark):
 
 
 def test_index_opens_in_a_session_that_does_not_know_it(spark, index):
-    from hibiki.session import _bucket_table
-    spark.sql(f"DROP TABLE {_bucket_table(index.path + '/weights')}")
+    from hibiki.session import _bucket_table, _layout
+    path = f"{index.path}/weights"
+    spark.sql(f"DROP TABLE {_bucket_table(path, _layout(spark, path))}")
     opened = TI.open_text_index(spark, index.path)
     assert everything(opened) == everything(index.__class__(**{**index.__dict__,
                                                               "weights": opened.weights}))
