@@ -61,8 +61,11 @@ def token_counts(rows: DataFrame, key: str, texts: dict[str, Column]) -> DataFra
             tokens(text), lambda t: F.struct(F.lit(name).alias("part"), t.alias("token"))
         )
 
-    parts = [marked(name, text) for name, text in texts.items()]
-    counted = rows.select(key, F.explode_outer(F.concat(*parts)).alias("t")).groupBy(
+    # The texts are shuffled by key once, before they fall apart into tokens: counting by
+    # (key, token) and then by key happens where they lie.
+    placed = rows.select(key, *[text.alias(name) for name, text in texts.items()]).repartition(key)
+    parts = [marked(name, F.col(name)) for name in texts]
+    counted = placed.select(key, F.explode_outer(F.concat(*parts)).alias("t")).groupBy(
         key, F.col("t.token").alias("token")
     )
     return counted.agg(
