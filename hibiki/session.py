@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import shutil
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -23,8 +20,6 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-_local_dirs: dict[str, str] = {}
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings this package relies on; sizes stay the cluster's choice."""
@@ -34,21 +29,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    if context.applicationId not in _local_dirs:
-        folder = tempfile.mkdtemp(prefix="hibiki-")
-        _local_dirs[context.applicationId] = folder
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return _local_dirs[context.applicationId]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/hibiki-steps"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
