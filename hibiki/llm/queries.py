@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hibiki.llm import bpe, simhash
+from hibiki.llm import bpe, simhash, toxicity
 from hibiki.llm.common import documents
 
 
@@ -27,9 +27,26 @@ def op2_simhash(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def toxicity_model(spark: SparkSession, d: str, docs: DataFrame) -> toxicity.Model | None:
+    return toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+
+
+def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d, "doc_id", "text", "lang")
+    model = toxicity_model(spark, d, docs)
+    scored = toxicity.add_scores(docs, model, keep=["doc_id", "lang"])
+    limit = toxicity.threshold_of(model)
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        limit.alias("threshold"), (F.col("score") >= limit).alias("toxic"),
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
+    "op3_toxicity": op3_toxicity,
 }
 
 SQL: dict[str, str] = {}
