@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hibiki.llm import bpe, simhash, toxicity
-from hibiki.llm.common import documents
+from hibiki.llm import bpe, mixing, simhash, threshold, toxicity
+from hibiki.llm.common import documents, prepare
 
 
 def op1_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
@@ -43,10 +43,60 @@ def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op9_mixing(spark: SparkSession, d: str) -> DataFrame:
+    found = mixing.shares(documents(spark, d, "doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_threshold(spark: SparkSession, d: str) -> DataFrame:
+    rows = prepare(spark).read.parquet(f"{d}/embeddings.parquet").select(
+        "vec_id", threshold.whole_numbers(F.col("embedding")).alias("embedding")
+    )
+    return threshold.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
+    "op9_mixing": op9_mixing,
+    "op10_threshold": op10_threshold,
 }
 
-SQL: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+
+SQL: dict[str, str] = {
+    "op9_mixing": f"""WITH sized AS (SELECT doc_id, source,
+  coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
+  md5('1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')) AS o FROM documents),
+sums AS (SELECT source, sum(size)::DOUBLE AS s FROM sized GROUP BY source),
+weighed AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS nth,
+  [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS w,
+  2.0::DOUBLE * s AS cap FROM sums),
+placed AS (SELECT *, row_number() OVER f AS nr, (sum(s) OVER () * 1.5::DOUBLE
+    - coalesce(sum(cap) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / (sum(w) OVER () - coalesce(sum(w) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  AS level FROM weighed WINDOW f AS (ORDER BY cap / w, nth)),
+opened AS (SELECT arg_min(level, nr) AS final, min(nr) AS opens FROM placed WHERE level * w < cap),
+wanted AS (SELECT source, s, coalesce(CASE WHEN nr >= opens THEN least(final * w, cap) END, cap)
+  AS target FROM placed LEFT JOIN opened ON true),
+parts AS (SELECT *, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS whole FROM wanted),
+tied AS (SELECT source, o, sum(size) AS n FROM sized GROUP BY source, o),
+run AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY o
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tied)
+SELECT doc_id, size, s::BIGINT AS source_size, target,
+  (size * (whole + CASE WHEN 2 * before + n <= 2 * (target - whole * s) THEN 1 ELSE 0 END))::BIGINT
+  AS taken
+FROM sized JOIN parts ON sized.source IS NOT DISTINCT FROM parts.source
+JOIN run ON run.source IS NOT DISTINCT FROM sized.source AND run.o = sized.o""",
+    "op10_threshold": """WITH v AS (SELECT DISTINCT vec_id,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id,
+  list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c
+  ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+SELECT * FROM (SELECT query_id, (row_number() OVER
+    (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored)
+WHERE rank <= 5""",
+}
