@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hibiki.llm import bpe, mixing, simhash, threshold, toxicity
+from hibiki.llm import bpe, mixing, pii, simhash, threshold, toxicity
 from hibiki.llm.common import documents, prepare
 
 
@@ -43,6 +43,18 @@ def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.find(documents(spark, d, "doc_id", "text"))
+    counts = [
+        F.expr(f"CAST(size(filter(base, s -> s.kind = {i})) AS BIGINT) AS n_{kind}")
+        for i, kind in enumerate(pii.KINDS)
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_mixing(spark: SparkSession, d: str) -> DataFrame:
     found = mixing.shares(documents(spark, d, "doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -59,6 +71,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
+    "op5_pii": op5_pii,
     "op9_mixing": op9_mixing,
     "op10_threshold": op10_threshold,
 }
