@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +46,14 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, fill: Callable) -> None:
-    """Write a file under a name of its own, then give it its name: a repeated task does no harm."""
+@contextlib.contextmanager
+def new_file(uri: str) -> Iterator[pa.NativeFile]:
+    """A file written under a name of its own, then given its name: a repeated task does no harm."""
     fs, path = store(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part, compression=None) as out:
-        fill(out)
+        yield out
     fs.move(part, path)
 
 

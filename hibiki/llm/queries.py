@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hibiki.llm import bpe, mixing, pii, simhash, threshold, toxicity
+from hibiki.llm import bpe, mixing, pii, simhash, threshold, token_store, toxicity, warc
 from hibiki.llm.common import documents, prepare
+from hibiki.session import new_path
 
 
 def op1_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +44,14 @@ def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op4_token_store(spark: SparkSession, d: str) -> DataFrame:
+    folder = new_path(spark, "token-store")
+    docs = documents(spark, d, "doc_id", "text")
+    manifest = token_store.write_store(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+    found = token_store.fetch(spark, folder, manifest, token_store.all_keys(docs))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_pii(spark: SparkSession, d: str) -> DataFrame:
     found = pii.find(documents(spark, d, "doc_id", "text"))
     counts = [
@@ -55,6 +64,12 @@ def op5_pii(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, d: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    archives = warc.write_archives(prepare(spark).read.parquet(f"{d}/pages.parquet"), folder)
+    return warc.resolve(warc.read_records(spark, folder, archives))
+
+
 def op9_mixing(spark: SparkSession, d: str) -> DataFrame:
     found = mixing.shares(documents(spark, d, "doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -71,7 +86,9 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
+    "op4_token_store": op4_token_store,
     "op5_pii": op5_pii,
+    "op6_warc": op6_warc,
     "op9_mixing": op9_mixing,
     "op10_threshold": op10_threshold,
 }
@@ -79,6 +96,14 @@ QUERIES = {
 WORD = r"[^\x20\x09-\x0D]+"
 
 SQL: dict[str, str] = {
+    "op6_warc": """WITH heads AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+  sha1(coalesce(html, '')) AS payload_digest FROM pages),
+ranked AS (SELECT *, max(page_id) OVER same AS original, row_number() OVER
+  (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) AS nth
+  FROM heads WINDOW same AS (PARTITION BY payload_digest))
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND nth > 1 THEN original END AS refers_to FROM ranked""",
     "op9_mixing": f"""WITH sized AS (SELECT doc_id, source,
   coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
   md5('1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')) AS o FROM documents),
