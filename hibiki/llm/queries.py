@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hibiki.llm import bpe, mixing, pii, simhash, threshold, token_store, toxicity, warc
+from hibiki.llm import bpe, fingerprints, mixing, pii, simhash, threshold, token_store, toxicity, warc
 from hibiki.llm.common import documents, prepare
 from hibiki.session import new_path
 
@@ -70,6 +70,10 @@ def op6_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.resolve(warc.read_records(spark, folder, archives))
 
 
+def op7_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.compare_neighbours(documents(spark, d, "doc_id", "text"))
+
+
 def op9_mixing(spark: SparkSession, d: str) -> DataFrame:
     found = mixing.shares(documents(spark, d, "doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -89,6 +93,7 @@ QUERIES = {
     "op4_token_store": op4_token_store,
     "op5_pii": op5_pii,
     "op6_warc": op6_warc,
+    "op7_fingerprints": op7_fingerprints,
     "op9_mixing": op9_mixing,
     "op10_threshold": op10_threshold,
 }
