@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hibiki.llm import bpe, fingerprints, mixing, pii, simhash, threshold, token_store, toxicity, warc
+from hibiki.llm import bpe, fingerprints, mixing, pii, simhash, substrings, threshold, token_store, toxicity, warc
 from hibiki.llm.common import documents, prepare
 from hibiki.session import new_path
 
@@ -74,6 +74,11 @@ def op7_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints.compare_neighbours(documents(spark, d, "doc_id", "text"))
 
 
+def op8_recompression(spark: SparkSession, d: str) -> DataFrame:
+    left = substrings.remove_repeats(documents(spark, d, "doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, d: str) -> DataFrame:
     found = mixing.shares(documents(spark, d, "doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -94,6 +99,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_warc": op6_warc,
     "op7_fingerprints": op7_fingerprints,
+    "op8_recompression": op8_recompression,
     "op9_mixing": op9_mixing,
     "op10_threshold": op10_threshold,
 }
