@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hibiki.llm.common import once, prepare
+from hibiki.llm.common import mix, once, prepare, span_hashes
 from hibiki.llm.components import connected
 from hibiki.llm.golay import Golay
 from hibiki.session import write_out
@@ -34,30 +34,39 @@ from hibiki.session import write_out
 MAX_BITS = 2  # what the keys are made for
 #: Distinct fingerprints under a key from which on they are linked through their neighbours.
 CROWDED = 64
+#: Jaccard similarity of shingle sets from which on texts are near duplicates.
+SIMILARITY = 0.8
+#: Texts of that similarity share a band key but once in 2500 times (1 - (1 - 0.8 ** 5) ** 20).
+BANDS, BAND_ROWS = 20, 5
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """SimHash of the word shingles of a text, as an unsigned number."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of all word shingles of a text, repeats included."""
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(found)
     if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.cumsum(lengths + 1) - 1
-        digest = xxhash.xxh64_intdigest
-        hashes = [
-            digest(joined[a:b], 42)
-            for a, b in zip((ends - lengths).tolist(), ends[words - 1:].tolist())
-        ]
-    hashes, counts = np.array(hashes, "<u8"), np.zeros(64, np.int64)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], "<u8")
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(lengths + 1) - 1
+    digest = xxhash.xxh64_intdigest
+    return np.array([
+        digest(joined[a:b], 42) for a, b in zip((ends - lengths).tolist(), ends[words - 1:].tolist())
+    ], "<u8")
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as an unsigned number."""
+    counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i:i + (1 << 16)].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(hashes), bitorder="little")
-    return int(bits.view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    return simhash(shingle_hashes(text, words))
 
 
 def add_fingerprints(
@@ -152,31 +161,126 @@ def hexadecimal(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with the smallest key of every component; all columns are kept.
+# -- by similarity ----------------------------------------------------------------------------------
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    """Keys that texts of some similarity share: hashes of a few minima each."""
+    if not len(hashes):
+        return [0] * BANDS
+    odd = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(len(odd), 2 ** 64 - 1, np.uint64)
+    for i in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[i:i + (1 << 12), None] * odd).min(axis=0))
+    rows = np.arange(0, len(odd) + 1, BAND_ROWS)
+    return span_hashes(least, rows[:-1], rows[1:]).view(np.int64).tolist()
+
+
+def _sketch(docs: DataFrame, words: int, text: str) -> DataFrame:
+    """All columns, _fp, _bands and _content (a hash of the text)."""
+    keep = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, bands = [], []
+            for whole in batch.column(len(keep)).to_pylist():
+                hashes = shingle_hashes(whole, words)
+                prints.append(simhash(hashes))
+                bands.append(_bands(hashes))
+            prints = np.array(prints, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(prints), pa.array(bands, pa.list_(pa.int64()))],
+                [*keep, "_fp", "_bands"],
+            )
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType()),
+                           T.StructField("_bands", T.ArrayType(T.LongType()))])
+    own = F.coalesce(F.col(text), F.lit("")).alias("_text")
+    return docs.select(*keep, own).mapInArrow(run, schema).withColumn(
+        "_content", F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    )
+
+
+def _candidates(texts: DataFrame) -> DataFrame:
+    """Pairs a > b of content hashes worth a comparison. ``texts``: distinct _content, _fp, _bands.
 
-    Among equal keys the smallest fingerprint and then the smallest content hash stay; of wholly
-    equal rows, one. Rows with a null key stay only where the component has no other key.
+    Texts meet under equal or linked fingerprints and under band keys. Under each key every text is
+    paired with the smallest and the largest content hash only, so a group makes two pairs a text.
     """
+    leads = write_out(texts.groupBy("_fp").agg(F.min("_content").alias("lead")), "leads")
+    equal = texts.join(leads, "_fp").select(F.col("_content").alias("x"), F.col("lead").alias("y"))
+    linked = links(leads.select(F.col("_fp").alias("fp")))
+    near = (
+        linked.join(leads.selectExpr("_fp AS a", "lead AS x"), "a")
+        .join(leads.selectExpr("_fp AS b", "lead AS y"), "b").select("x", "y")
+    )
+    keys = texts.select("_content", F.posexplode("_bands").alias("band", "value")).select(
+        "_content", F.xxhash64("band", "value").alias("key")
+    )
+    ends = keys.groupBy("key").agg(F.min("_content").alias("low"), F.max("_content").alias("high"))
+    ends = ends.filter("low <> high")
+    met = keys.join(ends, "key").select(
+        F.col("_content").alias("x"), F.explode(F.array("low", "high")).alias("y")
+    )
+    pairs = equal.unionByName(near).unionByName(met).filter("x <> y")
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, set()
+        for batch in batches:
+            good = []
+            for a, left, right in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                if a != last:
+                    last, own = a, set(shingle_hashes(left, words).tolist())
+                other = set(shingle_hashes(right, words).tolist())
+                both = len(own & other)
+                good.append(both >= similarity * (len(own) + len(other) - both))
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    joined = pairs.join(texts.selectExpr("_content AS b", "_text AS right"), "b").join(
+        texts.selectExpr("_content AS a", "_text AS left"), "a"
+    )
+    return joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def one_of_each(
+    docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, key: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """The rows with the smallest key of every group of near duplicates; all columns are kept.
+
+    Fingerprints within two bits, found by their Golay keys, only meet nearly equal texts; texts
+    of lower similarity meet under keys made of minimum hashes of their shingles. Whatever meets
+    is compared exactly, and groups are the connected components of similar texts.
+
+    Among equal keys the smallest content hash stays; of wholly equal rows, one. Rows with a null
+    key stay only where the group has no other key. Texts without words are one group.
+    """
+    prepare(docs.sparkSession)
     names = docs.columns
-    own = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_content")
-    rows = write_out(add_fingerprints(docs, "_fp", words, text).select(
-        *names, "_fp", own
-    ), "with-fingerprints")
-    prints = write_out(
-        rows.groupBy(F.col("_fp").alias("fp"))
-        .agg(F.min(F.struct(F.col(key).isNull(), F.col(key).alias("k"), "_fp", "_content")).alias("first")),
-        "prints",
+    rows = write_out(_sketch(docs, words, text), "sketches")
+    texts = write_out(
+        rows.groupBy("_content").agg(F.any_value("_fp").alias("_fp"), F.any_value("_bands").alias("_bands")),
+        "texts",
+    )
+    pairs = write_out(_candidates(texts), "candidates")
+    met = pairs.selectExpr("a AS _content").unionByName(pairs.selectExpr("b AS _content")).distinct()
+    whole = rows.select("_content", F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    whole = write_out(
+        whole.join(met, "_content", "left_semi").dropDuplicates(["_content"]), "met-texts"
     )
-    roots = write_out(connected(links(prints)).withColumnRenamed("node", "fp"), "roots")
+    similar = write_out(_verified(pairs, whole, words, similarity), "similar")
+    roots = write_out(connected(similar).withColumnRenamed("node", "_content"), "roots")
     firsts = (
-        prints.join(roots, "fp", "left")
-        .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-        .select(F.col("first.k").alias("_k"), F.col("first._fp").alias("_fp2"),
-                F.col("first._content").alias("_content2"))
+        rows.select("_content", F.struct(F.col(key).isNull(), F.col(key).alias("k"), "_content").alias("own"))
+        .groupBy("_content").agg(F.min("own").alias("own")).join(roots, "_content", "left")
+        .groupBy(F.coalesce("root", "_content").alias("root")).agg(F.min("own").alias("first"))
+        .select(F.col("first.k").alias("_k"), F.col("first._content").alias("_first"))
     )
-    same = (F.col(key).eqNullSafe(F.col("_k")) & (F.col("_fp") == F.col("_fp2"))
-            & (F.col("_content") == F.col("_content2")))
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_content") == F.col("_first"))
     kept = rows.join(firsts, same, "left_semi")
-    # Equal rows are one of them too; they lie together already.
-    return kept.dropDuplicates([key, "_fp", "_content"]).select(*names)
+    return kept.dropDuplicates([key, "_content"]).select(*names)
