@@ -38,6 +38,8 @@ CROWDED = 64
 SIMILARITY = 0.8
 #: Texts of that similarity share a band key but once in 2500 times (1 - (1 - 0.8 ** 5) ** 20).
 BANDS, BAND_ROWS = 20, 5
+#: Rows of a few numbers each that may be broadcast, so that fewer texts are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -261,26 +263,37 @@ def one_of_each(
     key stay only where the group has no other key. Texts without words are one group.
     """
     prepare(docs.sparkSession)
-    names = docs.columns
-    rows = write_out(_sketch(docs, words, text), "sketches")
+    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = write_out(_sketch(own, words, "t").drop("t"), "sketches")
     texts = write_out(
         rows.groupBy("_content").agg(F.any_value("_fp").alias("_fp"), F.any_value("_bands").alias("_bands")),
         "texts",
     )
     pairs = write_out(_candidates(texts), "candidates")
     met = pairs.selectExpr("a AS _content").unionByName(pairs.selectExpr("b AS _content")).distinct()
-    whole = rows.select("_content", F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    whole = write_out(
-        whole.join(met, "_content", "left_semi").dropDuplicates(["_content"]), "met-texts"
-    )
+    met = write_out(met, "met")
+    content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    whole = docs.select(content.alias("_content"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    whole = whole.join(_small(met), "_content", "left_semi").dropDuplicates(["_content"])
+    whole = write_out(whole, "met-texts")
     similar = write_out(_verified(pairs, whole, words, similarity), "similar")
     roots = write_out(connected(similar).withColumnRenamed("node", "_content"), "roots")
-    firsts = (
-        rows.select("_content", F.struct(F.col(key).isNull(), F.col(key).alias("k"), "_content").alias("own"))
-        .groupBy("_content").agg(F.min("own").alias("own")).join(roots, "_content", "left")
-        .groupBy(F.coalesce("root", "_content").alias("root")).agg(F.min("own").alias("first"))
-        .select(F.col("first.k").alias("_k"), F.col("first._content").alias("_first"))
-    )
-    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_content") == F.col("_first"))
-    kept = rows.join(firsts, same, "left_semi")
-    return kept.dropDuplicates([key, "_content"]).select(*names)
+    # Rows are few columns here; each group is reduced to its first before any shuffle.
+    each = rows.groupBy("k", "_content").agg(F.count(F.lit(1)).alias("n"))
+    each = each.join(roots, "_content", "left").withColumn("root", F.coalesce("root", "_content"))
+    rank = F.struct(F.col("k").isNull(), F.col("k"), F.col("_content"))
+    firsts = each.groupBy("root").agg(F.min(rank).alias("first"))
+    each = each.join(firsts, "root").withColumn("stays", rank.eqNullSafe(F.col("first")))
+    # What does not simply stay: rows to drop, and equal rows of which one stays.
+    others = write_out(each.filter("NOT stays OR n > 1").select("k", "_content", "stays"), "others")
+    names = docs.columns
+    marked = docs.select(*names, content.alias("_content"))
+    same = F.col(key).eqNullSafe(F.col("k")) & (marked["_content"] == others["_content"])
+    single = marked.join(_small(others), same, "left_anti").select(*names)
+    equal = marked.join(_small(others.filter("stays")), same, "left_semi")
+    return single.unionByName(equal.dropDuplicates([key, "_content"]).select(*names))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Broadcast where there are few enough; else the join shuffles both sides."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
