@@ -193,21 +193,21 @@ def add_spans(
     """The columns of docs, ``_base`` and ``_terms``: spans of either sort."""
     prepare(docs.sparkSession)
     marked = docs.withColumn("_base", base_spans(F.col(text)))
-    marked = marked.withColumn("_hash", F.when(F.size("_base") > 0, F.md5(F.col(text))))
-    marked = write_out(marked, "base-spans")
-    found = marked.filter("_hash IS NOT NULL")
+    found = marked.filter(F.size("_base") > 0).withColumn("_hash", F.md5(F.col(text)))
+    found = write_out(found, "base-spans")
     hits = write_out(
         found.groupBy("_hash").agg(F.any_value(text).alias("_text"), F.any_value("_base").alias("_spans"),
                                    F.count(F.lit(1)).alias("copies")),
         "texts-with-spans",
     )
-    rows = marked.count()
-    terms = _term_spans(hits, _disclosing(hits, marked, rows, text, generalise, remove, support))
+    rows = docs.count()
+    terms = _term_spans(hits, _disclosing(hits, docs, rows, text, generalise, remove, support))
     none = F.array().cast(_SPAN)
     with_terms = found.join(write_out(terms, "term-spans"), "_hash", "left").select(
         *docs.columns, "_base", F.coalesce(F.col("terms").cast(_SPAN), none).alias("_terms")
     )
-    without = marked.filter("_hash IS NULL").select(*docs.columns, "_base", none.alias("_terms"))
+    # Found again rather than written with their texts, which are nearly all of the corpus.
+    without = marked.filter(F.size("_base") == 0).select(*docs.columns, "_base", none.alias("_terms"))
     return without.unionByName(with_terms)
 
 
