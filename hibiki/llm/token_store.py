@@ -31,7 +31,7 @@ from hibiki.session import write_out
 
 END_ID = 2
 #: Words a worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 _JOINED = 2000
 #: Keys in a part of the index, at most on average.
 PART_KEYS = 1_000_000
