@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hibiki.llm.common import new_file, prepare, store
@@ -70,29 +70,27 @@ def write_archives(
     """Write the archives; returns the table of their names."""
     prepare(pages.sparkSession)
     decided = write_out(decide(pages, key, payload, least), "decisions")
+    named = F.coalesce(F.col("key").cast("string"), F.lit("")).alias("k")
     own = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), _payload(payload).alias("payload"))
-    own = own.withColumn("digest", F.sha1("payload"))
-    both = own.alias("o").join(
-        decided.alias("d"),
-        F.col("o.key").eqNullSafe(F.col("d.key")) & (F.col("o.digest") == F.col("d.digest")),
-    ).select(
-        "o.key", "url", "o.digest", "payload", F.col("shared").isNotNull().alias("shared"),
-        F.col("shared.original").alias("original"),
+    own = own.select("*", named, F.sha1("payload").alias("digest"))
+    decided = decided.select(named, "digest", F.col("shared").isNotNull().alias("shared"),
+                             F.col("shared.original").alias("original"))
+    # Rows with equal key and payload are numbered; those of a join by both lie together already.
+    copies = Window.partitionBy("k", "digest").orderBy("url")
+    both = own.join(decided, ["k", "digest"]).select(
+        "key", "url", "digest", "payload", "shared", "original",
+        (F.row_number().over(copies) - 1).alias("copy"),
     )
-    # Rows with equal key and payload lie together, so that their copies can be numbered.
-    both = both.sortWithinPartitions("key", "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, written, last, copy = f"{TaskContext.get().partitionId():06d}.warc.gz", 0, None, 0
+        name, written = f"{TaskContext.get().partitionId():06d}.warc.gz", 0
         with new_file(f"{folder}/{name}") as out:
             for batch in batches:
                 for row in batch.to_pylist():
-                    copy = copy + 1 if (row["key"], row["digest"]) == last else 0
-                    last = (row["key"], row["digest"])
-                    first = row["key"] == row["original"] and copy == 0
+                    first = row["key"] == row["original"] and row["copy"] == 0
                     refers = _identity(row["original"], 0) if row["shared"] and not first else None
                     record = _record(
-                        row["key"], copy, row["url"] or "", row["digest"], row["payload"], refers, date
+                        row["key"], row["copy"], row["url"] or "", row["digest"], row["payload"], refers, date
                     )
                     out.write(gzip.compress(record, LEVEL, mtime=0))
                 written += batch.num_rows
