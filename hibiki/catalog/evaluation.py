@@ -143,6 +143,9 @@ def score_check(spark, d):
             "doc_id", F.lit("safety").alias("metric"), (5.0 - 4 * F.col("toxic")).alias("score")
         )
     )
+    # A quarter of the documents was not sent out, and a tenth was scored twice.
+    expected = expected.filter("doc_id % 4 <> 1")
+    scores = scores.unionByName(scores.filter("doc_id % 10 = 3"))
     return E.take_scores(expected, scores, "doc_id")
 
 
@@ -157,7 +160,7 @@ def answer_rows(spark, d):
     asked = V.requests(spark, d)
     best = text_topk(V.kb_index(spark, d), asked, 1).select("request_id", "id")
     passages = with_passages(best, V.kb(spark, d), "id", "answer").select("request_id", "answer")
-    return apply_answers(passages, best_passage, "answer", workers=C.ANSWER_WORKERS)
+    return apply_answers(passages, best_passage, "answer")
 
 
 def evaluate_summary(spark, d):
@@ -281,12 +284,14 @@ SQL = {
         .replace("{ground_truth}", "' || expected_response || '")
         .replace("{prediction}", "' || response || '") + "'",
     ),
-    "score_check": """SELECT doc_id, metric, score, CASE WHEN score IS NULL THEN 'missing'
+    "score_check": """SELECT doc_id, metric, score, CASE WHEN doc_id % 4 = 1 THEN 'unexpected'
+        WHEN score IS NULL THEN 'missing' WHEN doc_id % 10 = 3 THEN 'duplicate'
         WHEN score NOT BETWEEN 1 AND 5 THEN 'out_of_range' ELSE 'ok' END AS status FROM (
           SELECT doc_id, 'quality' AS metric, (1.0 + 5 * quality)::DOUBLE AS score
             FROM documents LEFT JOIN labels USING (doc_id)
           UNION ALL SELECT doc_id, 'safety', (5.0 - 4 * toxic)::DOUBLE
-            FROM documents LEFT JOIN labels USING (doc_id))""",
+            FROM documents LEFT JOIN labels USING (doc_id))
+        WHERE doc_id % 4 <> 1 OR score IS NOT NULL""",
     "answer_rows": S.with_(
         S.REQ, _D, S.ranked("s", "d", "req", "request_id"), S.best("b", "s", 1)
     ) + """SELECT q AS request_id, text AS answer, CASE WHEN contains(text, 'eau')

@@ -80,10 +80,11 @@ TOOL_SPAN_TYPES = {
     "book_service_appointment": "tool",
 }
 
-# --- Our own choices -----------------------------------------------------------------------
+# --- Fixed values: words the sample evaluations turn on --------------------------------------
 SAFETY_WORDS = ["ブレーキ", "タイヤ", "バースト", "パンク", "ハンドル", "発煙", "火災"]
 DEFER_WORDS = ["次回の", "定期点検時", "様子を見", "急ぎではありません"]
 URGENT_WORDS = ["危険", "すぐに", "直ちに", "緊急", "至急", "重大"]
 ACTION_WORDS = ["停止", "連絡", "予約", "走行を控え", "ロードサービス", "お持ち込み"]
+
+# --- Our own choices -----------------------------------------------------------------------
 WARRANTY_ENDING_MONTHS = 3
-FEEDBACK_LATENESS = "1 hour"

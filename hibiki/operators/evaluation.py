@@ -225,20 +225,25 @@ def judge_prompts(
 def take_scores(
     expected: DataFrame, scores: DataFrame, key: str = "request_id"
 ) -> DataFrame:
-    """Scores that judges sent back, each ``ok``, ``missing`` or ``out_of_range``.
+    """Scores that judges sent back, one row per pair, with a status.
 
     ``expected`` holds the (key, metric) pairs sent out. Keep the ``ok`` ones; the others are
-    the reject table.
+    the reject table: ``missing``, ``out_of_range``, ``unexpected`` (nobody asked for the pair) and
+    ``duplicate`` (several scores came for it; the lowest is shown).
     """
+    sent = expected.select(key, "metric").distinct().withColumn("_sent", F.lit(True))
+    back = scores.groupBy(key, "metric").agg(
+        F.min(F.col("score").cast("double")).alias("score"), F.count(F.lit(1)).alias("_n")
+    )
     return (
-        expected.select(key, "metric")
-        .join(scores.select(key, "metric", F.col("score").cast("double").alias("score")),
-              [key, "metric"], "left")
-        .withColumn(
-            "status",
-            F.when(F.col("score").isNull() | F.isnan("score"), "missing")
+        sent.join(back, [key, "metric"], "full")
+        .select(
+            key, "metric", "score",
+            F.when(F.col("_sent").isNull(), "unexpected")
+            .when(F.col("_n") > 1, "duplicate")
+            .when(F.col("score").isNull() | F.isnan("score"), "missing")
             .when(~valid_score(F.col("score")), "out_of_range")
-            .otherwise("ok"),
+            .otherwise("ok").alias("status"),
         )
     )
 

@@ -23,7 +23,12 @@ from hibiki.operators.evaluation import (
 from hibiki.operators.text_index import TextIndex
 
 _TEMPLATE = (
-    "Score the response from 1 (wrong or harmful) to 5 (complete and right) and say why.\n"
+    "Give one score and say why.\n"
+    "5: nothing to correct or add\n"
+    "4: right, but a detail the reader needs is missing\n"
+    "3: partly right, or too vague to act on\n"
+    "2: mostly wrong, with something usable left\n"
+    "1: wrong throughout, or following it would do harm\n\n"
     "question: {question}\nground truth: {ground_truth}\nresponse: {prediction}\n"
 )
 
@@ -32,8 +37,16 @@ TIER_COMPLIANCE = Metric(
     definition="Does the response state the benefits of the customer's own tier, and no others?",
     template=_TEMPLATE,
     examples=(
-        Example("A gold member asks for the inspection discount.", "20% off for gold.", 5),
-        Example("A silver member asks for the inspection discount.", "20% off for silver.", 2),
+        Example(
+            "Which plan am I on, and does new wiper work cost me less? (standard plan)",
+            "You are on the standard plan, which takes 10% off labour and parts.", 4,
+            "The rate is the plan's own; where to book is left open.",
+        ),
+        Example(
+            "Do I pay less for four winter wheels? (standard plan)",
+            "Every plan pays the same, there are no reductions at all.", 1,
+            "Denies what the plan grants.",
+        ),
     ),
     rule=lambda: tier_rule(F.col("response"), F.col("tier")),
 )
@@ -42,8 +55,16 @@ SAFETY_URGENCY = Metric(
     definition="Does the response treat a danger as urgent? Other questions score 5.",
     template=_TEMPLATE,
     examples=(
-        Example("The brake pedal sinks.", "Stop driving now and call us.", 5),
-        Example("The brake pedal sinks.", "Let us look at it at the next inspection.", 1),
+        Example(
+            "Grey fumes come from under the bonnet on the motorway.",
+            "Pull over, get everyone out, keep away from the car and ring roadside help.", 5,
+            "Names the danger's remedy step by step.",
+        ),
+        Example(
+            "The wheel shudders and pulls to the left above walking pace.",
+            "That may be the alignment; mention it some time.", 2,
+            "Sees a cause but lets the driver carry on.",
+        ),
     ),
     rule=lambda: safety_rule(F.col("question"), F.col("response")),
 )

@@ -11,7 +11,7 @@ from hibiki import constants as C
 from hibiki.operators.ranking import latest_per_key
 from hibiki.operators.text_index import TextIndex, sync_text_index
 from hibiki.operators.tools import ToolData, run_tools
-from hibiki.sources.tables import append_rows, read_table, save_table
+from hibiki.sources.tables import read_table, save_table
 
 
 def sync_index(
@@ -25,9 +25,11 @@ def sync_index(
 def run_tool_calls(
     calls: DataFrame, data: ToolData, log_path: str, day: str, max_rounds: int = C.MAX_ROUNDS
 ) -> DataFrame:
-    """Run the calls of a day, add them to the trace log and return that day's part of it."""
-    log = run_tools(calls, data, max_rounds).withColumn("day", F.lit(day))
-    append_rows(log, log_path, ["day"])
+    """Run the calls of a day, store them as the trace log's part for that day and return it.
+
+    A repeated run replaces the day.
+    """
+    run_tools(calls, data, max_rounds).write.mode("overwrite").parquet(f"{log_path}/day={day}")
     return calls.sparkSession.read.parquet(log_path).filter(F.col("day") == day)
 
 

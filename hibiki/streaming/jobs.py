@@ -12,9 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hibiki import constants as C
 from hibiki.operators.enrich import enrich_customers
-from hibiki.operators.ranking import latest_per_key
 from hibiki.operators.text_index import (
     TextIndex,
     apply_changes,
@@ -90,25 +88,23 @@ def feedback_per_day(
     feedback: DataFrame, is_up: Column, is_down: Column, out: str, checkpoint: str,
     time: str = "ts",
 ) -> DataFrame:
-    """Thumbs up and down per day: (day, up, down), rows later than an hour left out.
+    """Thumbs up and down per day: (day, up, down), however late a row arrives.
 
-    Update mode: the last day is reported before it is over. Each batch writes the days it
-    changed, and the newest line of a day counts.
+    Each batch writes its own counts per day under its number, so a repeated batch replaces
+    itself, and reading adds them up. No state is kept and no row is too late.
     """
-    counted = (
-        # A watermark needs an instant; clock times count as the session's time zone.
-        feedback.withColumn(time, F.col(time).cast("timestamp"))
-        .withWatermark(time, C.FEEDBACK_LATENESS)
-        .groupBy(F.window(time, "1 day"))
-        .agg(F.count_if(is_up).alias("up"), F.count_if(is_down).alias("down"))
-        .select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "up", "down")
+    marked = feedback.select(
+        F.date_format(time, "yyyy-MM-dd").alias("day"), is_up.alias("up"), is_down.alias("down")
     )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        counts = batch.groupBy("day").agg(
+            F.count_if("up").alias("up"), F.count_if("down").alias("down")
+        )
+        counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
-        counted.writeStream.outputMode("update")
+        marked.writeStream.outputMode("append")
         .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -116,4 +112,4 @@ def feedback_per_day(
     )
     query.awaitTermination()
     lines = feedback.sparkSession.read.parquet(out)
-    return latest_per_key(lines, ["day"], [F.desc("batch")]).drop("batch")
+    return lines.groupBy("day").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))

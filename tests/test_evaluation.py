@@ -130,8 +130,15 @@ def test_scores_from_judges(spark):
         [(1, "m", 5.0), (2, "m", 5.1), (3, "m", float("nan")), (5, "other", 1.0)],
         "request_id int, metric string, score double",
     )
-    got = {r.request_id: r.status for r in E.take_scores(expected, back).collect()}
-    assert got == {1: "ok", 2: "out_of_range", 3: "missing", 4: "missing", 5: "missing"}
+    got = {(r.request_id, r.metric): r.status for r in E.take_scores(expected, back).collect()}
+    more = back.unionByName(back.filter("request_id = 1")).unionByName(
+        back.limit(1).withColumn("request_id", F.lit(77)))
+    again = E.take_scores(expected, more).filter("request_id IN (1, 77)").collect()
+    assert {r.request_id: r.status for r in again} == {1: "duplicate", 77: "unexpected"}
+    assert got == {
+        (1, "m"): "ok", (2, "m"): "out_of_range", (3, "m"): "missing", (4, "m"): "missing",
+        (5, "m"): "missing", (5, "other"): "unexpected",
+    }
 
 
 def test_registry_and_prompts(spark, pairs):

@@ -27,6 +27,7 @@ def test_tool_log_grows(spark, data, tmp_path):  # noqa: F811
             [(i, 1, i, "get_vehicle_info", '{"vehicle_id": "V101"}') for i in range(n)], schema
         )
         assert run_tool_calls(calls, data, str(tmp_path / "log"), day).count() == n
+    run_tool_calls(calls, data, str(tmp_path / "log"), day)  # once more
     log = spark.read.parquet(str(tmp_path / "log"))
     assert rows(tool_stats(log), "name") == [("get_vehicle_info", "tool", 3, 0)]
 

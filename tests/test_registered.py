@@ -33,7 +33,7 @@ def table(names, values):
     return sorted(tuple(plain(row[i]) for i in order) for row in values)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, duck, name):
     got = entry.queries()[name](spark, SF_DIR)
     result = duck.execute(entry.oracle_sql()[name])
@@ -43,7 +43,10 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert sorted(entry.queries()) == sorted(entry.oracle_sql())
+    """But those of the training data operators, some of which SQL cannot express."""
+    without = set(entry.queries()) - set(entry.oracle_sql())
+    assert all(name == "pipeline" or name.startswith("op") for name in without)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):

@@ -75,8 +75,8 @@ def test_feedback_adds_up_over_runs(spark, tmp_path):
         f"{folder}/b"
     )
     assert run() == [("2024-01-01", 2, 1), ("2024-01-02", 1, 0)]
-    # The first day closed an hour into the second: this row is too late.
+    # A day is never closed: rows of the first day count however late they come.
     spark.createDataFrame([(at(1, 12), "down"), (at(2, 5), "down")], schema).write.parquet(
         f"{folder}/c"
     )
-    assert run() == [("2024-01-01", 2, 1), ("2024-01-02", 1, 1)]
+    assert run() == [("2024-01-01", 2, 2), ("2024-01-02", 1, 1)]
