@@ -22,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def prepare(spark: SparkSession) -> SparkSession:
     """Library settings, and Arrow batches small enough for whole long texts."""
     configure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")
     return spark
 
 
