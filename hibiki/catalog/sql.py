@@ -54,7 +54,7 @@ CALLS = """calls AS (SELECT user_id AS request_id, (k // 15 + 1)::INTEGER AS rou
   CASE WHEN event_type = 'signup' AND k < 50 THEN CASE WHEN value < 5 THEN 'gold'
     WHEN value < 10 THEN 'silver' WHEN value < 30 THEN 'standard' ELSE 'platinum' END END
     AS customer_tier,
-  CASE WHEN event_type = 'signup' THEN CASE WHEN k < 10 THEN 2 ELSE 3 END END AS num_results
+  CASE WHEN event_type = 'signup' THEN CASE WHEN k < 10 THEN 2 ELSE 3 END END AS num_results, k
   FROM (SELECT *, json_extract(props, '$.k')::BIGINT AS k FROM events) e
   LEFT JOIN benchmark ON item_id = k % 50 AND event_type = 'signup'),
 checked AS (SELECT *, concat_ws(', ',
@@ -65,6 +65,7 @@ checked AS (SELECT *, concat_ws(', ',
   CASE WHEN name LIKE 'search%' AND query IS NULL THEN 'missing query' END,
   CASE WHEN name = 'search_faq' AND customer_tier IS NULL THEN 'missing customer_tier' END,
   CASE WHEN customer_tier = 'platinum' THEN 'invalid customer_tier' END,
+  CASE WHEN name = 'search_service_cases' AND k < 55 THEN 'wrong type num_results' END,
   CASE WHEN name = 'book_service_appointment' AND service_type IS NULL
     THEN 'missing service_type' END,
   CASE WHEN name = 'book_service_appointment' AND preferred_date IS NULL

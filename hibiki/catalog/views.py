@@ -172,6 +172,9 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((kind == "signup") & (k < 50), F.to_json(F.struct(
             "query", tier.alias("customer_tier"), F.when(k < 10, 2).alias("num_results"),
         )))
+        .when((kind == "signup") & (k < 55), F.to_json(F.struct(
+            "query", F.lit("2").alias("num_results"),  # a text where a number belongs
+        )))
         .when(kind == "signup", F.to_json(F.struct("query")))
         .otherwise("{}")
     )

@@ -76,6 +76,7 @@ def test_all_tools_in_one_log(spark, data):
         (6, "get_vehicle_info", {"vehicle_id": "V101"}),
         (5, None, {}),
         (5, "search_service_cases", {"query": "窓が動かない", "num_results": 0}),
+        (5, "search_service_cases", {"query": "窓が動かない", "num_results": 5000}),
     )
     content = {i: json.loads(r.content) for i, r in log.items()}
     assert content[0] == {"customer_id": "C101", "name": "甲", "tier": "gold",
@@ -98,11 +99,52 @@ def test_all_tools_in_one_log(spark, data):
     assert 11 not in log  # the sixth round
     assert 12 in log and log[12].span_type is None
     assert content[13] == []
+    assert [h["case_id"] for h in content[14]][0] == "K2"
     assert log[3].span_type == "retriever" and log[0].span_type == "tool"
     stats = {r.name: (r.calls, r.errors) for r in T.tool_stats(df).collect()}
     assert stats["get_customer_info"] == (2, 1) and stats["search_faq"] == (3, 1)
 
 
+def test_arguments_of_a_wrong_type(spark):
+    given = [
+        ("search_faq", '{"query": "a", "customer_tier": "gold", "num_results": "2"}'),
+        ("search_faq", '{"query": "a", "customer_tier": "gold", "num_results": 2.5}'),
+        ("search_faq", '{"query": "a", "customer_tier": "gold", "num_results": 3000000000}'),
+        ("search_faq", '{"query": "a", "customer_tier": "gold", "num_results": -1}'),
+        ("search_faq", '{"query": 5, "customer_tier": ["gold"], "num_results": null}'),
+        ("search_faq", '{"query": "a", "customer_tier": "gold", "num_results": 4, "notes": 1}'),
+        ("get_vehicle_info", '{"vehicle_id": null}'),
+        ("get_vehicle_info", "[1]"),
+        ("get_vehicle_info", None),
+    ]
+    calls = spark.createDataFrame(
+        [(i, *g) for i, g in enumerate(given)], "call_id int, name string, arguments string"
+    )
+    found = T.parse_arguments(calls).select("call_id", T.argument_violations())
+    assert [r[1] for r in found.orderBy("call_id").collect()] == [
+        ["wrong type num_results"], ["wrong type num_results"], ["wrong type num_results"],
+        ["invalid num_results"], ["wrong type query", "wrong type customer_tier"], [],
+        ["missing vehicle_id"], ["missing vehicle_id"], ["missing vehicle_id"],
+    ]
+
+
+def test_asks_are_searched_with_others_of_their_size(spark):
+    asks = spark.createDataFrame([(n,) for n in (0, 1, 3, 7, 8, 5000)], "num_results int")
+    got = [(most, sorted(r[0] for r in part.collect())) for part, most in T._by_size(asks)]
+    assert got == [(7, [0, 1, 3, 7]), (8, [8]), (5000, [5000])]
+    assert [most for _part, most in T._by_size(asks.limit(0))] == [1]
+
+
+def test_listed_vehicles_are_an_array(spark):
+    calls = spark.createDataFrame([("C1",)], "customer_id string").selectExpr(
+        "1 AS request_id", "1 AS round", "1 AS call_id", "'get_customer_info' AS name",
+        "struct(customer_id) AS args",
+    )
+    table = spark.createDataFrame([("C1", '["V1","V2"]')], "customer_id string, vehicle_ids string")
+    found = T._record(calls, table, "customer_id", C.CUSTOMER_NOT_FOUND).first()
+    assert json.loads(found.content)["vehicle_ids"] == ["V1", "V2"]
+
+
 def test_bookings_are_stable(spark):
     def calls():
         return spark.createDataFrame(
