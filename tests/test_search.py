@@ -166,6 +166,19 @@ def test_sync_equals_rebuild(spark):
     assert everything(TI.refresh_text_index(spark, path)) == everything(rebuilt)
 
 
+@pytest.mark.parametrize("broadcast_tokens", [0, 10**6])
+def test_a_key_with_two_texts_asks_twice(spark, broadcast_tokens):
+    docs = [(1, "red apple", "all"), (2, "blue plum", "all")]
+    index = TI.sync_text_index(
+        spark.createDataFrame(docs, DOCS), new_path(spark, "twice"), "id", attributes=["applicable_tier"]
+    )
+    asked = [(7, "red apple"), (7, "blue plum"), (8, "blue plum"), (None, "red apple")]
+    found = text_topk(index, spark.createDataFrame(asked, "request_id int, text string"), 1,
+                      broadcast_tokens=broadcast_tokens)
+    got = sorted((r.request_id or 0, r.rank, r.id, r.score) for r in found.collect())
+    assert got == [(0, 1, 1, 1.0), (7, 1, 1, 1.0), (7, 1, 2, 1.0), (8, 1, 2, 1.0)]
+
+
 def test_removing_everything(spark):
     path = new_path(spark, "t")
     df = spark.createDataFrame([(1, "a b", "all"), (2, "c", "all")], DOCS)
