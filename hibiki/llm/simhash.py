@@ -38,6 +38,8 @@ CROWDED = 64
 SIMILARITY = 0.8
 #: Texts of that similarity share a band key but once in 2500 times (1 - (1 - 0.8 ** 5) ** 20).
 BANDS, BAND_ROWS = 20, 5
+#: Texts of a key, about, that are compared with all others left there in the first round after its ends.
+FIRST_TURNS = 4
 #: Rows of a few numbers each that may be broadcast, so that fewer texts are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -179,53 +181,105 @@ def _bands(hashes: np.ndarray) -> list[int]:
 
 
 def _sketch(docs: DataFrame, words: int, text: str) -> DataFrame:
-    """All columns, _fp, _bands and _content (a hash of the text)."""
+    """All columns, _fp, _size (of the set of shingles), _bands and _content (a hash of the text)."""
     keep = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, bands = [], []
+            prints, sizes, bands = [], [], []
             for whole in batch.column(len(keep)).to_pylist():
                 hashes = shingle_hashes(whole, words)
                 prints.append(simhash(hashes))
+                sizes.append(len(np.unique(hashes)))
                 bands.append(_bands(hashes))
             prints = np.array(prints, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(prints), pa.array(bands, pa.list_(pa.int64()))],
-                [*keep, "_fp", "_bands"],
+                [*batch.columns[:-1], pa.array(prints), pa.array(sizes, pa.int64()),
+                 pa.array(bands, pa.list_(pa.int64()))],
+                [*keep, "_fp", "_size", "_bands"],
             )
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType()),
-                           T.StructField("_bands", T.ArrayType(T.LongType()))])
+                           T.StructField("_size", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType()))])
     own = F.coalesce(F.col(text), F.lit("")).alias("_text")
     return docs.select(*keep, own).mapInArrow(run, schema).withColumn(
         "_content", F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     )
 
 
-def _candidates(texts: DataFrame) -> DataFrame:
-    """Pairs a > b of content hashes worth a comparison. ``texts``: distinct _content, _fp, _bands.
+def _groups(texts: DataFrame, leads: DataFrame, linked: DataFrame) -> DataFrame:
+    """(key, _content, size, low, high): texts that meet under a key, and its two ends.
 
-    Texts meet under equal or linked fingerprints and under band keys. Under each key every text is
-    paired with the smallest and the largest content hash only, so a group makes two pairs a text.
+    Texts meet under band keys, under equal fingerprints, and under two linked fingerprints one of
+    which several texts have. ``texts``: distinct _content, _fp, _size, _bands.
     """
-    leads = write_out(texts.groupBy("_fp").agg(F.min("_content").alias("lead")), "leads")
-    equal = texts.join(leads, "_fp").select(F.col("_content").alias("x"), F.col("lead").alias("y"))
-    linked = links(leads.select(F.col("_fp").alias("fp")))
+    bands = texts.select("_content", F.col("_size").alias("size"), F.posexplode("_bands").alias("band", "value"))
+    bands = bands.select(F.xxhash64("band", "value").alias("key"), "_content", "size")
+    own = texts.select(F.xxhash64(F.lit("fp"), "_fp").alias("key"), "_content", F.col("_size").alias("size"))
+    several = leads.filter("texts > 1").select("_fp")
+    crowds = (
+        linked.join(several.selectExpr("_fp AS a"), "a", "left_semi")
+        .unionByName(linked.join(several.selectExpr("_fp AS b"), "b", "left_semi")).distinct()
+    )
+    sides = crowds.select(F.xxhash64(F.lit("link"), "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("_fp"))
+    both = sides.join(texts, "_fp").select("key", "_content", F.col("_size").alias("size"))
+    keys = bands.unionByName(own).unionByName(both)
+    ends = keys.groupBy("key").agg(F.min("_content").alias("low"), F.max("_content").alias("high"))
+    return keys.join(ends.filter("low <> high"), "key")
+
+
+def _ordered(x: str, y: str) -> list[F.Column]:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+
+def _candidates(leads: DataFrame, linked: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs a > b of content hashes to compare first: every text of a key with the key's two ends,
+    so that a group makes two pairs a text. ``_joined`` sees to the others."""
     near = (
         linked.join(leads.selectExpr("_fp AS a", "lead AS x"), "a")
         .join(leads.selectExpr("_fp AS b", "lead AS y"), "b").select("x", "y")
     )
-    keys = texts.select("_content", F.posexplode("_bands").alias("band", "value")).select(
-        "_content", F.xxhash64("band", "value").alias("key")
-    )
-    ends = keys.groupBy("key").agg(F.min("_content").alias("low"), F.max("_content").alias("high"))
-    ends = ends.filter("low <> high")
-    met = keys.join(ends, "key").select(
-        F.col("_content").alias("x"), F.explode(F.array("low", "high")).alias("y")
-    )
-    pairs = equal.unionByName(near).unionByName(met).filter("x <> y")
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    met = groups.select(F.col("_content").alias("x"), F.explode(F.array("low", "high")).alias("y"))
+    return near.unionByName(met).filter("x <> y").select(*_ordered("x", "y")).distinct()
+
+
+def _joined(
+    groups: DataFrame, compared: DataFrame, similar: DataFrame, whole: DataFrame, words: int,
+    similarity: float,
+) -> DataFrame:
+    """(_content, root): components of similar texts, all texts of a key being compared or joined.
+
+    In each round some texts of every key that still holds different components are compared with
+    all that is left there of other components, and are then done with the key; their number grows
+    fourfold. It ends when all that is left under each key is one component. Only texts whose
+    numbers of shingles rule out the similarity are not compared.
+    """
+    left = groups.filter("_content <> low AND _content <> high").select("key", "_content", "size")
+    roots = write_out(connected(similar).withColumnRenamed("node", "_content"), "roots")
+    turns = FIRST_TURNS
+    while True:
+        left = left.join(roots, "_content", "left").withColumn("root", F.coalesce("root", "_content"))
+        mixed = left.groupBy("key").agg(
+            F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")
+        )
+        left = write_out(left.join(mixed.filter("least <> most").select("key", "n"), "key"), "left")
+        if left.isEmpty():
+            return roots
+        turn = F.pmod(F.xxhash64("_content", "key"), F.col("n")) < turns
+        alike = F.least("l.size", "r.size") >= similarity * F.greatest("l.size", "r.size")
+        pairs = (
+            left.filter(turn).alias("l")
+            .join(left.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & alike)
+            .select(*_ordered("l._content", "r._content")).distinct()
+        )
+        pairs = write_out(pairs.join(compared, ["a", "b"], "left_anti"), "candidates")
+        found = write_out(_verified(pairs, whole, words, similarity), "similar")
+        compared = compared.unionByName(pairs)
+        left = left.filter(~turn).select("key", "_content", "size")
+        turns *= 4
+        if not found.isEmpty():
+            links_ = roots.selectExpr("_content AS a", "root AS b").unionByName(found)
+            roots = write_out(connected(links_).withColumnRenamed("node", "_content"), "roots")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -257,7 +311,8 @@ def one_of_each(
 
     Fingerprints within two bits, found by their Golay keys, only meet nearly equal texts; texts
     of lower similarity meet under keys made of minimum hashes of their shingles. Whatever meets
-    is compared exactly, and groups are the connected components of similar texts.
+    is compared exactly, unless others have joined it already or the numbers of shingles rule the
+    similarity out, and groups are the connected components of similar texts.
 
     Among equal keys the smallest content hash stays; of wholly equal rows, one. Rows with a null
     key stay only where the group has no other key. Texts without words are one group.
@@ -266,10 +321,14 @@ def one_of_each(
     own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     rows = write_out(_sketch(own, words, "t").drop("t"), "sketches")
     texts = write_out(
-        rows.groupBy("_content").agg(F.any_value("_fp").alias("_fp"), F.any_value("_bands").alias("_bands")),
+        rows.groupBy("_content").agg(*[F.any_value(c).alias(c) for c in ("_fp", "_size", "_bands")]),
         "texts",
     )
-    pairs = write_out(_candidates(texts), "candidates")
+    leads = texts.groupBy("_fp").agg(F.min("_content").alias("lead"), F.count(F.lit(1)).alias("texts"))
+    leads = write_out(leads, "leads")
+    linked = write_out(links(leads.select(F.col("_fp").alias("fp"))), "linked")
+    groups = write_out(_groups(texts, leads, linked), "groups")
+    pairs = write_out(_candidates(leads, linked, groups), "candidates")
     met = pairs.selectExpr("a AS _content").unionByName(pairs.selectExpr("b AS _content")).distinct()
     met = write_out(met, "met")
     content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
@@ -277,7 +336,7 @@ def one_of_each(
     whole = whole.join(_small(met), "_content", "left_semi").dropDuplicates(["_content"])
     whole = write_out(whole, "met-texts")
     similar = write_out(_verified(pairs, whole, words, similarity), "similar")
-    roots = write_out(connected(similar).withColumnRenamed("node", "_content"), "roots")
+    roots = _joined(groups, pairs, similar, whole, words, similarity)
     # Rows are few columns here; each group is reduced to its first before any shuffle.
     each = rows.groupBy("k", "_content").agg(F.count(F.lit(1)).alias("n"))
     each = each.join(roots, "_content", "left").withColumn("root", F.coalesce("root", "_content"))

@@ -161,6 +161,32 @@ def test_one_of_each_by_similarity(spark, odd, empty):
     assert simhash.one_of_each(empty).isEmpty()
 
 
+def test_one_of_each_equals_brute_force_in_a_group_of_edited_copies(spark):
+    own = random.Random(8)
+    base, texts = [f"w{i}" for i in range(300)], []
+    for i in range(350):
+        words = list(base)
+        for at in own.sample(range(300), own.randrange(0, 31)):
+            words[at] = f"e{i}x{at}"
+        texts.append(" ".join(words))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in range(len(texts)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both >= 0.8 * (len(sets[x]) + len(sets[y]) - both):
+                a, b = sorted((root(x), root(y)))
+                parent[b] = a
+    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {root(x) for x in range(len(texts))}
+
+
 # -- toxicity ------------------------------------------------------------------------------------
 
 
