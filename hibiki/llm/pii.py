@@ -3,15 +3,17 @@
 Base spans come from four patterns. The patterns are those of the contract in possessive form: the
 same matches, but linear time and no recursion on very long runs of digits or letters.
 
-Terms: an entity is a value found by a pattern. Over the distinct texts that hold an entity, a
-term's co-occurrence with it is counted; over the whole corpus, how often the term occurs at all.
-The pointwise mutual information of entity and term, divided by the entity's own information,
-tells how much of the entity the term discloses (1: whoever reads the term knows the entity). From
-``generalise`` on, the term's occurrences in texts with that entity become spans of kind ``term``,
-from ``remove`` on of kind ``removed``. Entities and pairs below ``support`` distinct texts tell
-nothing and are left alone.
-
-Rows: null texts have no spans; repeated rows and copies count as one text for support and as
+Terms: an entity is a value found by a pattern, in lower case or by its digits. A term is a run of
+letters and digits, in lower case. Over the texts that hold an entity, a term's co-occurrence with
+it is counted; over the whole corpus, how often the term occurs at all. The pointwise mutual
+information of entity and term, divided by the entity's own information, tells how much of the
+entity the term discloses (1: whoever reads the term knows the entity). From ``generalise`` on, the
+term's occurrences in texts with that entity become spans of kind ``term``, from ``remove`` on of
+kind ``removed``. Few texts are weak evidence: the share of a term's occurrences that meet the
+entity is discounted as if another ``doubt`` of a text had the term without the entity, beside the
+distinct texts that have both. So entities of a single text are judged, too.
+
+Rows: null texts have no spans; repeated rows and copies count as one text for evidence and as
 several for frequencies. Null ids are carried along. Empty tables give none. Extra columns are kept
 by ``sanitise`` and left out by ``find``.
 """
@@ -28,7 +30,8 @@ KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("term", "removed")
 GENERALISE = 0.9
 REMOVE = 0.97
-SUPPORT = 3
+#: Texts that each pair's distinct texts are discounted by.
+DOUBT = 0.25
 #: Terms that may be broadcast to the corpus scan; with more, the words are shuffled to them.
 BROADCAST_TERMS = 200_000
 
@@ -46,7 +49,7 @@ _WORTH_A_LOOK = {  # what a text with a match must hold
     "card": lambda text: F.rlike(text, F.lit(r"[0-9][\x20-]?[0-9]")),
     "phone": lambda text: F.contains(text, F.lit("+")),
 }
-_TERM = r"\p{L}{4,}"
+_TERM = r"[\p{L}\p{M}\p{N}]+"
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
@@ -112,46 +115,71 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.coalesce(F.concat(*found), F.array().cast(_SPAN)))
 
 
+def _entity(kind: Column, value: Column) -> Column:
+    """The same for all spellings of a value."""
+    own = (
+        F.when(kind == KINDS.index("email"), F.lower(value))
+        .when(kind == KINDS.index("ip"), F.regexp_replace(value, r"(?<![0-9])0+(?=[0-9])", ""))
+        .otherwise(_digits(value))
+    )
+    return F.struct(kind.alias("kind"), own.alias("value"))
+
+
 def _disclosing(
     hits: DataFrame, docs: DataFrame, rows: int, text: str, generalise: float, remove: float,
-    support: int,
+    doubt: float,
 ) -> DataFrame:
-    """(entity, term, kind): terms that disclose an entity too far.
+    """(_hash, term, kind): terms of a text that disclose one of its entities too far.
 
-    ``hits``: distinct texts (_hash, _text, _spans, copies) with base spans.
+    ``hits``: distinct texts (_hash, _text, _spans, copies) with base spans. Entities that the same
+    texts hold are judged as one (g, h: hashes of that set), so that a text with many values of its
+    own does not pair each with every word.
     """
-    value = lambda s: F.struct(
-        s["kind"].alias("kind"), F.substring(F.col("_text"), s["start"] + 1, s["stop"] - s["start"]).alias("value")
+    value = lambda s: _entity(
+        s["kind"], F.substring(F.col("_text"), s["start"] + 1, s["stop"] - s["start"])
     )
     held = hits.select(
         "_hash", "copies", F.explode(F.array_distinct(F.transform("_spans", value))).alias("entity")
     )
-    known = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts"))
-    known = write_out(known.filter((F.col("texts") >= support) & (F.col("n_e") < rows)), "entities")
+    known = held.groupBy("entity").agg(
+        F.sum("copies").alias("n_e"), F.bit_xor(F.xxhash64("_hash")).alias("g"),
+        F.bit_xor(F.xxhash64(F.lit("h"), "_hash")).alias("h"),
+    )
+    known = write_out(known.filter(F.col("n_e") < rows), "entities")
     words = hits.select("_hash", F.array_distinct(_terms(F.col("_text"))).alias("terms"))
-    pairs = (
-        held.join(known.select("entity"), "entity")
-        .join(words, "_hash").select("entity", "copies", F.explode("terms").alias("term"))
-        .groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("texts"))
-        .filter(F.col("texts") >= support).select("entity", "term", "n_et")
+    spoken = (
+        held.join(known, "entity").select("_hash", "copies", "g", "h", "n_e").distinct()
+        .join(words, "_hash").select("_hash", "copies", "g", "h", "n_e", F.explode("terms").alias("term"))
     )
-    pairs = write_out(pairs, "pairs")
-    terms = write_out(pairs.select("term").distinct(), "terms")
+    spoken = write_out(spoken, "spoken")
+    terms = write_out(spoken.groupBy("term").agg(F.max("n_e").alias("most")), "terms")
     asked = terms.count()
+    # Without entities there is nothing to ask the corpus.
+    heard = (docs if asked else docs.limit(0)).select(
+        F.explode(F.array_distinct(_terms(F.coalesce(F.col(text), F.lit(""))))).alias("term")
+    )
     if asked <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    spoken = docs if asked else docs.limit(0)
-    frequency = (
-        spoken.select(F.explode(F.array_distinct(_terms(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
-        .join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+        heard = heard.join(F.broadcast(terms), "term", "left_semi")
+    frequency = heard.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    frequency = write_out(frequency.join(terms, "term"), "frequency")
+    # Terms too frequent to disclose any entity they meet: few, but most of what is spoken.
+    bound = 1 + F.log2(F.least("most", "n_t") / F.col("n_t")) / F.log2(F.lit(float(rows)))
+    common = frequency.filter(bound < generalise - 1e-9).select("term")
+    if common.count() <= BROADCAST_TERMS:
+        common = F.broadcast(common)
+    spoken = spoken.join(common, "term", "left_anti")
+    pairs = spoken.groupBy("g", "h", "term").agg(
+        F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("texts"), F.any_value("n_e").alias("n_e")
     )
-    share = F.log2(F.col("n_et") / F.col("n_t")) / F.log2(F.lit(float(rows)) / F.col("n_e"))
-    return (
-        pairs.join(known, "entity").join(frequency, "term").withColumn("share", 1 + share)
-        .filter(F.col("share") >= generalise)
-        .select("entity", "term", F.when(F.col("share") >= remove, len(KINDS) + 1)
+    certain = F.col("texts") / (F.col("texts") + doubt)
+    share = F.log2(F.col("n_et") / F.col("n_t") * certain) / F.log2(F.lit(float(rows)) / F.col("n_e"))
+    told = (
+        pairs.join(frequency.select("term", "n_t"), "term")
+        .withColumn("share", 1 + share).filter(F.col("share") >= generalise)
+        .select("g", "h", "term", F.when(F.col("share") >= remove, len(KINDS) + 1)
                 .otherwise(len(KINDS)).alias("kind"))
     )
+    return spoken.join(told, ["g", "h", "term"]).select("_hash", "term", "kind")
 
 
 def _terms(text: Column) -> Column:
@@ -160,20 +188,15 @@ def _terms(text: Column) -> Column:
 
 def _term_spans(hits: DataFrame, disclosing: DataFrame) -> DataFrame:
     """(_hash, terms): spans of disclosing terms in each distinct text, apart from base spans."""
-    held = hits.select("_hash", "_text", F.explode("_spans").alias("s")).select(
-        "_hash", F.struct(
-            F.col("s.kind").alias("kind"),
-            F.expr("substring(_text, s.start + 1, s.stop - s.start)").alias("value"),
-        ).alias("entity"),
-    ).distinct()
     wanted = (
-        held.join(disclosing, "entity").groupBy("_hash", "term").agg(F.max("kind").alias("kind"))
+        disclosing.groupBy("_hash", "term").agg(F.max("kind").alias("kind"))
         .groupBy("_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("wanted"))
     )
     own = hits.join(wanted, "_hash")
     # Words are located in the text as it is; lower-casing may change its length.
+    asked = lambda m: F.map_contains_key(F.col("wanted"), F.lower(m))
     located = own.select("_hash", "_text", "_spans", "wanted",
-                         _located(F.col("_text"), _TERM, -1, lambda m: F.lit(True)).alias("words"))
+                         _located(F.col("_text"), _TERM, -1, asked).alias("words"))
     word = lambda s: F.element_at(
         F.col("wanted"), F.lower(F.substring(F.col("_text"), s["start"] + 1, s["stop"] - s["start"]))
     )
@@ -188,7 +211,7 @@ def _term_spans(hits: DataFrame, disclosing: DataFrame) -> DataFrame:
 
 def add_spans(
     docs: DataFrame, text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE,
-    support: int = SUPPORT,
+    doubt: float = DOUBT,
 ) -> DataFrame:
     """The columns of docs, ``_base`` and ``_terms``: spans of either sort."""
     prepare(docs.sparkSession)
@@ -201,7 +224,7 @@ def add_spans(
         "texts-with-spans",
     )
     rows = docs.count()
-    terms = _term_spans(hits, _disclosing(hits, docs, rows, text, generalise, remove, support))
+    terms = _term_spans(hits, _disclosing(hits, docs, rows, text, generalise, remove, doubt))
     none = F.array().cast(_SPAN)
     with_terms = found.join(write_out(terms, "term-spans"), "_hash", "left").select(
         *docs.columns, "_base", F.coalesce(F.col("terms").cast(_SPAN), none).alias("_terms")

@@ -296,6 +296,19 @@ def test_disclosing_terms(spark, odd, empty):
     assert pii.sanitise(odd).columns == odd.columns and pii.find(empty).isEmpty()
 
 
+def test_terms_that_disclose_an_entity_of_one_or_two_texts(spark):
+    rows = [(i, f"common words said {i % 7}") for i in range(5000)]
+    rows += [(6000, "Ümit Bo common words umit@mail.example, Bo@mail.example"), (6001, "words said 3 1.2.3.4 Öz"),
+             (6002, "call +49 (30) 1234567 R2 said"), (6003, "R2 common call +49 30 1234567")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find(docs).collect()}
+    told = {i: [t[s.start:s.stop] for s in found[i].spans if s.kind > 3] for i, t in rows}
+    # One text holds Ümit, Bo and Öz; two hold R2, under two spellings of a number.
+    assert told[6001] == ["Öz"] and told[6002] == ["call", "R2"] and told[6003] == ["R2", "call"]
+    assert told[6000] == ["Ümit", "Bo"]
+    assert not any(told[i] for i in range(5000))
+
+
 # -- web archives -----------------------------------------------------------------------------------
 
 
