@@ -140,6 +140,27 @@ def _hashed(rows: DataFrame, key: Column, number: Column, parts: int) -> DataFra
     }).withColumn("_part", F.pmod(F.col("_a"), F.lit(parts)).cast("int"))
 
 
+def _numbered_on(records: DataFrame, totals: list) -> DataFrame:
+    """The records, the numbers of a key that lies in several shards running on from one to the next.
+
+    ``totals``: by shard, its first and last key and how many records of the last it holds.
+    """
+    ahead, last, count = [], None, 0
+    for row in totals:
+        before = count if row["first"] == last else 0
+        if before:
+            ahead.append((row["_shard"], row["first"]["key"], before))
+        count = row["of_last"] + (before if row["first"] == row["last"] else 0)
+        last = row["last"]
+    if not ahead:
+        return records
+    own = records.sparkSession.createDataFrame(ahead, "at_shard int, first long, ahead long")
+    same = (F.col("_shard") == F.col("at_shard")) & F.col("key").eqNullSafe(F.col("first"))
+    return records.join(F.broadcast(own), same, "left").withColumn(
+        "number", F.col("number") + F.coalesce("ahead", F.lit(0))
+    ).select(*records.columns)
+
+
 def write_store(
     docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text",
     end_id: int = END_ID, shards: int | None = None,
@@ -177,6 +198,13 @@ def write_store(
     records = write_out(own.select("key", "text").mapInArrow(
         run, "_shard int, key long, number long, at long, n long, width int"
     ), "records")
+    # A few rows per shard; running sums tell what lies before each.
+    totals = records.groupBy("_shard").agg(
+        F.sum("n").alias("ids"), F.max("width").alias("width"),
+        F.min_by(F.struct("key"), "at").alias("first"), F.max_by(F.struct("key"), "at").alias("last"),
+        (F.max_by("number", "at") + 1).alias("of_last"),
+    ).orderBy("_shard").collect()
+    records = _numbered_on(records, totals)
     parts = max(shards, -(-records.count() // PART_KEYS))
 
     def build(group: pa.Table) -> pa.Table:
@@ -198,10 +226,8 @@ def write_store(
 
     hashed = _hashed(records, F.col("key"), F.col("number"), parts)
     write_out(hashed.groupBy("_part").applyInArrow(build, "part int, keys long"), "index-parts")
-    # A few rows per shard; their running sum tells what lies before each.
-    totals = records.groupBy("_shard").agg(F.sum("n").alias("ids"), F.max("width").alias("width"))
     rows, before = [], 0
-    for row in totals.orderBy("_shard").collect():
+    for row in totals:
         rows.append((row["_shard"], row["ids"], before, parts, row["width"]))
         before += row["ids"]
     return spark.createDataFrame(rows, "_shard int, ids long, before long, parts int, width int")

@@ -242,6 +242,22 @@ def test_token_store(spark, odd, empty):
     assert token_store.fetch(spark, folder, none, token_store.all_keys(empty)).isEmpty()
 
 
+def test_token_store_numbers_a_key_over_several_shards(spark):
+    rows = [(None, f"none {i}") for i in range(400)] + [(7, f"seven {i}") for i in range(60)]
+    rows += [(8, "eight"), (9, "nine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = new_path(spark, "store")
+    manifest = token_store.write_store(docs, folder, WORDS, shards=6)
+    found = token_store.fetch(spark, folder, manifest, token_store.all_keys(docs)).orderBy("start").collect()
+    assert [(r.doc_id, r.number) for r in found] == [
+        (k, i) for k, n in ((None, 400), (7, 60), (8, 1), (9, 1)) for i in range(n)
+    ]
+    library = Tokenizer.from_file(WORDS)
+    assert Counter((r.doc_id, r.ids) for r in found) == Counter(
+        (k, np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for k, t in rows
+    )
+
+
 def test_minimal_perfect_hash():
     a, b = np.random.default_rng(2).integers(0, 2 ** 64, (2, 5000), dtype=np.uint64)
     bits, sizes = token_store.build_hash(a, b)
