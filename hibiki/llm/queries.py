@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hibiki.llm import bpe, fingerprints, mixing, pii, simhash, substrings, threshold, token_store, toxicity, warc
-from hibiki.llm.common import documents, prepare
+from hibiki.llm import (
+    bpe, filter_audit, fim, fingerprints, mixing, pii, simhash, substrings, threshold, token_store,
+    toxicity, vector_dedup, warc,
+)
+from hibiki.llm.common import WORD, documents, prepare
 from hibiki.session import new_path
 
 
@@ -91,6 +94,37 @@ def op10_threshold(spark: SparkSession, d: str) -> DataFrame:
     return threshold.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
 
 
+def op11_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d, "doc_id", "text", "lang")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    conditions = {
+        "A": F.size(words) < 200,
+        "B": 100 * F.size(F.array_distinct(words)) < 50 * F.size(words),
+        "C": 100 * F.regexp_count(text, F.lit("[A-Z]")) > 3 * F.length(text),
+        "D": F.rlike(text, F.lit("[#$%&*|]")),
+    }
+    found = filter_audit.audit(
+        docs, spark.read.parquet(f"{d}/labels.parquet"), conditions, repeats="E",
+        part=F.coalesce(F.col("lang"), F.lit("")),
+    )
+    return found.drop("filter")
+
+
+def op12_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
+    found = fim.transform(documents(spark, d, "doc_id", "text"))
+    again = fim.restored(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"),
+    )
+
+
+def op13_vector_dedup(spark: SparkSession, d: str) -> DataFrame:
+    vectors = prepare(spark).read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    return vector_dedup.near_duplicates(vectors)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
@@ -102,10 +136,10 @@ QUERIES = {
     "op8_recompression": op8_recompression,
     "op9_mixing": op9_mixing,
     "op10_threshold": op10_threshold,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_vector_dedup": op13_vector_dedup,
 }
-
-WORD = r"[^\x20\x09-\x0D]+"
-
 SQL: dict[str, str] = {
     "op6_warc": """WITH heads AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
   sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -148,4 +182,55 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id,
 SELECT * FROM (SELECT query_id, (row_number() OVER
     (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored)
 WHERE rank <= 5""",
+    "op11_filter_audit": f"""WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS least FROM texts GROUP BY t),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+words AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w FROM texts),
+judged AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+  + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS fails
+  FROM words JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)),
+totals AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY part, fails),
+names AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+  FROM names a, names b, names c, names d, names e WHERE (a.b | b.b | c.b | d.b | e.b) = 31),
+steps AS (SELECT filter_order, step::INTEGER AS step, bits[step] AS own, list_sum(bits[1:step]) - bits[step] AS taken
+  FROM orders, range(1, 6) AS r(step)),
+counted AS (SELECT part, filter_order, step, own,
+  coalesce(sum(n) FILTER (fails & (taken | own) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (fails & taken = 0 AND fails & own > 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (fails & taken > 0 AND fails & own > 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (fails & taken = 0 AND fails & own > 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (fails & taken = 0 AND fails & own > 0), 0)::BIGINT AS toxic_lost
+  FROM (SELECT part, filter_order, step, own, taken::INT AS taken, fails, n, good, toxic FROM totals, steps)
+  GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted""",
+    "op12_fill_in_middle": r"""WITH cut AS (SELECT doc_id, coalesce(text, '') AS t,
+  regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+  sha256('7:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+numbered AS (SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a,
+  ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b, ('0x' || h[25:32])::BIGINT % 100 AS way FROM cut),
+parts AS (SELECT doc_id, n, t, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+    THEN 'plain' WHEN way < 50 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+  array_to_string(u[greatest(a, b) + 1:n], '') AS s FROM numbered)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM parts""",
+    "op13_vector_dedup": """WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e,
+  coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS fine FROM embeddings),
+links AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM v a JOIN v b
+  ON a.fine AND b.fine AND a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reached AS (SELECT r AS a, r AS b FROM v UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+found AS (SELECT reached.a AS r, min(v.vec_id) AS component_id FROM reached JOIN v ON v.r = reached.b GROUP BY reached.a),
+counted AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id,
+  vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN found USING (r) LEFT JOIN counted USING (r)""",
 }

@@ -1,0 +1,236 @@
+"""Filter audit, fill-in-the-middle and vector near duplicates against plain versions."""
+
+import hashlib
+import random
+import re
+from itertools import permutations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hibiki.llm import filter_audit, fim, queries as Q, vector_dedup
+from tests.llm.test_operators import ODD
+
+rng = random.Random(8)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# -- filter interaction audit -----------------------------------------------------------------------
+
+FILTERS = {
+    "A": lambda t: len(words(t)) < 200,
+    "B": lambda t: 100 * len(set(words(t))) < 50 * len(words(t)),
+    "C": lambda t: 100 * len(re.findall("[A-Z]", t)) > 3 * len(t),
+    "D": lambda t: bool(re.search("[#$%&*|]", t)),
+}
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+def audit_by_hand(docs, labels):
+    least, marks = {}, {}
+    for i, t, _ in docs:
+        if i is not None:
+            least[t or ""] = min(i, least.get(t or "", i))
+    for i, quality, toxic in labels:
+        good, bad = marks.get(i, (False, False))
+        marks[i] = good or quality == 1, bad or toxic == 1
+    out = {}
+    for part in {lang or "" for _, _, lang in docs}:
+        own = [(i, t or "") for i, t, lang in docs if (lang or "") == part]
+        fails = [
+            {f for f, bad in FILTERS.items() if bad(t)} | ({"E"} if i is not None and least[t] < i else set())
+            for i, t in own
+        ]
+        removed_by = dict.fromkeys("ABCDE", 0)
+        for order in permutations("ABCDE"):
+            left = list(range(len(own)))
+            for step, f in enumerate(order, 1):
+                gone = [x for x in left if f in fails[x]]
+                left = [x for x in left if f not in fails[x]]
+                marked = [marks.get(own[x][0], (False, False)) if own[x][0] is not None else (False, False)
+                          for x in gone]
+                removed_by[f] += len(gone)
+                out[part, "".join(order), step] = [
+                    len(left), len(gone), sum(f in x for x in fails) - len(gone), fails.count({f}),
+                    sum(g for g, _ in marked), sum(b for _, b in marked),
+                ]
+        for (p, order, step), row in out.items():
+            if p == part:
+                row.append(removed_by[order[step - 1]])
+    return out
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    texts = [*ODD, "A#B " * 90, "x " * 300, "a b c " * 80, "Q%", *(" ".join(f"w{i}" for i in range(n)) for n in (150, 250, 400))]
+    docs = [(i, rng.choice(texts), rng.choice(["en", "de", None])) for i in range(120)]
+    docs += [docs[3], (None, texts[2], "en"), (None, "x " * 300, "de"), (7, "x " * 300, "en")]
+    labels = [(i, rng.choice([0, 1, None]), rng.choice([0, 1])) for i in range(0, 120, 2)] + [(4, 1, 1), (None, 1, 1)]
+    return docs, labels
+
+
+def write_tables(spark, folder, docs, labels):
+    rows = spark.createDataFrame([(*d, -1) for d in docs], "doc_id long, text string, lang string, taken int")
+    rows.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_audit_by_hand(spark, judged, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(filter_audit, "BROADCAST_ROWS", broadcast)
+    write_tables(spark, str(tmp_path), *judged)
+    found = Q.op11_filter_audit(spark, str(tmp_path)).collect()
+    got = {(r.part, r.filter_order, r.step): [r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost,
+                                              r.toxic_lost, r.shapley] for r in found}
+    assert len(found) == len(got) == 600 * 3
+    assert got == audit_by_hand(*judged)
+
+
+def test_audit_of_nothing_and_of_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a", 0), (2, "a", 1)], "row long, key string, fails int")
+    labels = spark.createDataFrame([], "row long, quality int, toxic int")
+    rules = {"odd": F.col("fails") == 1}
+    found = filter_audit.audit(rows, labels, rules, "same", key="row", content="key").collect()
+    assert {(r.filter_order, r.step, r.kept, r.removed, r.redundant) for r in found} == {
+        ("oddsame", 1, 1, 1, 0), ("oddsame", 2, 1, 0, 1), ("sameodd", 1, 1, 1, 0), ("sameodd", 2, 1, 0, 1)}
+    assert filter_audit.audit(rows.limit(0), labels, rules, key="row", content="key").count() == 0
+
+
+# -- fill in the middle -----------------------------------------------------------------------------
+
+LINES = [
+    "\n", "\n\n\n", "a\n", "a\nb", "é\n日本語\n🙂", "x\ry z\n", "<P>\na\n", "a<S>b", "<M", "<\nS>\n<P\n",
+    "".join(rng.choice(["é", "\n", "ab", "🙂", "<"]) for _ in range(5000)), "\n" * 999, "w\n" * 4000 + "end",
+]
+
+
+def fim_by_hand(key, text):
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    digits = hashlib.sha256(f"7:{'null' if key is None else key}".encode()).hexdigest()
+    h = [int(digits[8 * i:8 * i + 8], 16) for i in range(4)]
+    if not text or any(s in text for s in ("<P>", "<S>", "<M>")):
+        return key, len(units), "plain", None, None, sha(text), sha(text)
+    a, b = sorted(x % (len(units) + 1) for x in h[:2])
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    form = "spm" if h[3] % 100 < 50 else "psm"
+    out = f"<S>{s}<P>{p}<M>{m}" if form == "spm" else f"<P>{p}<S>{s}<M>{m}"
+    return key, len(units), form, len(p), len(m), sha(out), sha(text)
+
+
+def test_fill_in_middle(spark, tmp_path):
+    docs = [(i, t) for i, t in enumerate([*ODD, *LINES] * 3)] + [(None, "a\nb\nc"), (3, LINES[4]), (3, LINES[4])]
+    rows = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, n int").repartition(3)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in Q.op12_fill_in_middle(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted((fim_by_hand(i, t or "") for i, t in docs), key=str)
+    assert fim.transform(rows.limit(0)).count() == 0
+
+
+def test_fill_in_middle_keeps_columns_and_rates(spark):
+    rows = spark.createDataFrame([(i, f"{i}\nb\n", i) for i in range(400)], "n long, text string, output int")
+    found = fim.transform(rows, key="n", keep=["output"], rate=25, spm=100)
+    forms = [r.form for r in found.collect()]
+    assert 50 < forms.count("spm") < 150 and forms.count("psm") == 0
+    assert found.columns == ["output", "n", "form", "prefix_chars", "middle_chars", "output"]
+
+
+def test_marks_against_plain_counts():
+    data = np.frombuffer(rng.randbytes(2001) + b"\n\xc3\xa9\n" * 50, np.uint8)
+    for mark, plain in ((fim.equal_bytes(fim.as_words(data), 10), data == 10),
+                        (fim.first_bytes(fim.as_words(data)), (data & 0xC0) != 0x80)):
+        marks, places = fim.Marks(mark), np.flatnonzero(plain)
+        assert (marks.rank(np.arange(len(data) + 1)) == np.concatenate([[0], np.cumsum(plain)])).all()
+        assert (marks.select(np.arange(1, len(places) + 1)) == places).all()
+
+
+# -- near duplicates among vectors --------------------------------------------------------------------
+
+
+def components_by_hand(rows, similarity=0.9):
+    fine = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in rows]
+    root, count = list(range(len(rows))), [0] * len(rows)
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    unit = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if ok else None for ok, (_, v) in zip(fine, rows)]
+    for x in range(len(rows)):
+        for y in range(x):
+            if fine[x] and fine[y] and len(unit[x]) == len(unit[y]) and unit[x] @ unit[y] >= similarity:
+                count[x] += 1
+                count[y] += 1
+                root[top(x)] = top(y)
+    least = {}
+    for x, (key, _) in enumerate(rows):
+        if key is not None:
+            least[top(x)] = min(key, least.get(top(x), key))
+    return sorted(((k, count[x], least.get(top(x)), k == least.get(top(x))) for x, (k, _) in enumerate(rows)), key=str)
+
+
+def vectors_for(random, size=16):
+    rows = [(i, random.normal(size=size)) for i in range(150)]
+    for i in range(60):  # chains, and near copies around one vector
+        rows.append((200 + i, rows[i % 7][1] + random.normal(size=size) * 0.1))
+        rows.append((300 + i, rows[-1][1] + random.normal(size=size) * 0.25))
+    rows = [(i, np.float32(v / np.linalg.norm(v)).tolist()) for i, v in rows]
+    rows += [(i, rows[3][1]) for i in range(400, 430)] + [(430, [x * 7 for x in rows[3][1]])]
+    rows += [(431, None), (432, []), (433, [0.0] * size), (434, [None, 1.0]), (435, [float("nan")] * size),
+             (436, [float("inf")] + [1.0] * (size - 1)), (437, [1.0, 2.0]), (438, [1.0, 2.1]), (None, rows[5][1]),
+             (None, [3.0, -1.0]), (3, rows[9][1]), (3, rows[9][1])]
+    return rows
+
+
+@pytest.mark.parametrize("crowd, block", [(1024, 2048), (20, 2048), (1024, 7), (20, 5)])
+def test_vectors_by_hand(spark, crowd, block):
+    rows = vectors_for(np.random.default_rng(crowd))
+    table = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, n_links int")
+    found = vector_dedup.near_duplicates(table.repartition(3), crowd=crowd, block=block, miss=1e-6)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == components_by_hand(rows)
+
+
+def test_vectors_at_the_threshold_are_found(spark):
+    """Pairs at a cosine of 0.9 to 0.92, the hardest to find, among many other vectors."""
+    random = np.random.default_rng(3)
+    base = random.normal(size=(1500, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = random.normal(size=base.shape)
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = random.uniform(0.9, 0.92, size=(1500, 1))
+    both = np.concatenate([base, cosine * base + np.sqrt(1 - cosine ** 2) * side])
+    rows = [(i, v.tolist()) for i, v in enumerate(both)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = vector_dedup.near_duplicates(table, crowd=64)
+    links = sum(r.n_links for r in found.collect())
+    assert links >= 0.995 * ((both @ both.T >= 0.9).sum() - len(both))
+
+
+def test_vectors_of_nothing(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert vector_dedup.near_duplicates(empty).count() == 0
+
+
+def test_forest_connects_what_links_connect():
+    random = np.random.default_rng(4)
+    for n, m in ((1, 0), (5, 3), (60, 45), (200, 3000)):
+        a, b = random.integers(0, n, m), random.integers(0, n, m)
+        a, b = a[a != b], b[a != b]
+        kept = vector_dedup.forest(a, b, n)
+
+        def label(a, b):
+            own = np.arange(n)
+            for _ in range(n):
+                for x, y in zip(a, b):
+                    own[own == max(own[x], own[y])] = min(own[x], own[y])
+            return own.tolist()
+
+        assert label(a[kept], b[kept]) == label(a, b) if n < 100 else len(kept) < n
