@@ -1,63 +1,71 @@
-"""The text index: which passages hold which token, and how much it counts.
-
-Files below one folder:
-
-``members``    (id, unit, attributes, bucket)  every passage and the unit it belongs to; a unit
-               is one distinct (text, attributes), so copies are indexed once however many
-               there are. Partitioned by a hash of the id, so a sync rewrites only the parts
-               that hold changed ids.
-``tokens``     (unit, tokens)  tokenised text per unit, in buckets by unit. Units are named by
-               a hash of their content: a sync only appends units that are new.
-``vocab``      (token, df, idf, shards)  df counts passages, copies included. Joins that shuffle
-               on tokens cut a frequent token into that many shards of bounded size.
-``weights``    (doc, token, tf, w, shards, attributes)  unit-length TF-IDF weights; ``doc`` is
-               the smallest id of the unit. In buckets by doc, sorted by token: sums per passage
-               need no shuffle of the index.
-``champions``  the passages with the largest weights per token.
-``copies``     (doc, id, attributes)  every passage with the smallest id of its unit.
-
-The first two are kept by syncs, the others follow from them (``refresh_text_index``).
+"""The text index: which passages hold which token, in generations that readers see whole.
+
+Files below one folder are only ever added:
+
+``members/<segment>``   (id, unit, attributes, alive, version)  what a sync changed: passages added or
+               replaced, and removed ids (not alive). The newest version of an id counts. A unit is
+               one distinct (text, attributes), named by a hash, so copies are indexed once.
+``postings-<n>``   (unit, token, tf, segment)  raw counts, in buckets by unit. A sync appends those of
+               units that no earlier segment holds; nothing in it depends on other passages.
+``stats/<name>``   what follows from one state of members and postings: ``live`` (id, unit,
+               attributes), ``vocab`` (token, df, idf, n_units), ``units`` (unit, doc, norm,
+               attributes; in the same buckets) and ``champions``, the largest weights per token.
+``commits``    one row per generation: its segments, postings, and, once derived, its stats.
+
+The weight of a token in a passage is tf * idf / norm; idf and norm belong to a generation, so no
+weights are stored and no posting is rewritten when idf changes. A generation counts from the moment
+its row is there: a row is one file. Whatever fails before leaves files that no row names, and the
+next run does the work again. Readers keep the generation they opened while others are written. One
+writer at a time.
+
+From some number of segments on, or when passages outgrow the buckets, a sync merges: live members
+and their postings are written anew, in buckets that fit, and what is dead is left behind.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from hibiki.functions.text import tokens
 from hibiki.operators.ranking import best_per_key
-from hibiki.session import (
-    append_buckets,
-    buckets_of,
-    read_buckets,
-    small_enough,
-    table_exists,
-    write_buckets,
-)
+from hibiki.session import broadcast_if, bucket_table, table_exists
 
-SHARD_ROWS = 200_000
 CHAMPIONS = 32
-IDS_PER_PART = 1_000_000
-MAX_ID_PARTS = 4096
 UNITS_PER_BUCKET = 200_000
-MAX_BUCKETS = 100_000
-# About 200 MB in every executor; beyond it the vocabulary is joined with a shuffle.
-BROADCAST_VOCABULARY = 2_000_000
+#: Segments from which on a sync merges them.
+MAX_SEGMENTS = 8
+#: Bytes of the vocabulary that are sent to every executor; beyond, it is joined with a shuffle.
+BROADCAST_BYTES = 200 << 20
+
+_COMMIT = (
+    "generation long, segments array<string>, postings string, buckets int, attributes array<string>, "
+    "stats string, n_docs long"
+)
+_POSTINGS = "unit binary, token string, tf long, segment string"
 
 
 @dataclass(frozen=True)
 class TextIndex:
     path: str
-    weights: DataFrame
+    generation: int
+    postings: DataFrame
+    units: DataFrame
     vocab: DataFrame
     champions: DataFrame
     copies: DataFrame
     n_docs: int
     attributes: list[str] = field(default_factory=list)
 
+    @property
+    def weights(self) -> DataFrame:
+        """(unit, doc, token, tf, w, attributes): unit-length TF-IDF weights."""
+        return _weights(self.postings, self.units, self.vocab, self.attributes)
+
 
 def unit_of(text, attributes: Sequence[str]):
     """Name of a distinct (text, attributes): a hash, so equal content meets in one group."""
@@ -65,35 +73,86 @@ def unit_of(text, attributes: Sequence[str]):
     if attributes:
         extra = F.to_json(F.struct(*attributes), {"ignoreNullFields": "false"})
         name = F.sha2(F.concat(name, extra), 256)
-    return name
+    return F.unhex(F.left(name, F.lit(32)))
 
 
-def one_text_per_unit(df: DataFrame, unit: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per unit. Rows of a unit are equal, so any of them will do; copies are dropped
-    inside each task before the shuffle."""
-    return df.groupBy(unit).agg(*[F.first(c).alias(c) for c in [text, *keep]])
+# -- generations ------------------------------------------------------------------------------------
+
+
+def head(spark: SparkSession, path: str, derived: bool = False) -> Row | None:
+    """The row of the last generation, or of the last whose stats are derived."""
+    if not table_exists(spark, f"{path}/commits"):
+        return None
+    rows = spark.read.schema(_COMMIT).parquet(f"{path}/commits")
+    if derived:
+        rows = rows.filter("stats IS NOT NULL")
+    return rows.orderBy(F.desc("generation")).first()
+
+
+def _commit(spark: SparkSession, path: str, last: Row | None, **changes) -> Row:
+    """One more generation; its one row is one file, which is there or not."""
+    old = last.asDict() if last else {}
+    row = Row(**(old | {"stats": None, "n_docs": None} | changes | {"generation": old.get("generation", 0) + 1}))
+    names = [part.split(" ")[0] for part in _COMMIT.split(", ")]
+    table = spark.createDataFrame([tuple(row[name] for name in names)], _COMMIT)
+    table.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return row
+
 
+def _put(df: DataFrame, folder: str) -> DataFrame:
+    """Write a table once; it is never changed."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
-def _id_part(key: str, parts: int):
-    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("bucket")
 
+def _add_postings(counts: DataFrame, path: str, state: Row | dict, segment: str) -> None:
+    """Append (unit, token, tf) rows, dealt by unit into as many partitions as there are buckets."""
+    table = bucket_table(counts.sparkSession, f"{path}/{state['postings']}", _POSTINGS, "unit",
+                         state["buckets"], "token")
+    counts.select("unit", "token", F.col("tf").cast("long"), F.lit(segment)).write.insertInto(table)
 
-def _members(
-    docs: DataFrame, key: str, text: str, attributes: Sequence[str], parts: int
-) -> DataFrame:
+
+def _postings(spark: SparkSession, path: str, state: Row) -> DataFrame:
+    """The postings of a generation's segments, in their buckets."""
+    table = bucket_table(spark, f"{path}/{state.postings}", _POSTINGS, "unit", state.buckets, "token")
+    return spark.table(table).filter(F.col("segment").isin(state.segments)).drop("segment")
+
+
+def _live(spark: SparkSession, path: str, state: Row) -> DataFrame:
+    """(id, attributes, unit) of the passages of a generation."""
+    rows = spark.read.parquet(*[f"{path}/members/{s}" for s in state.segments])
+    if len(state.segments) > 1:
+        rest = F.struct(*[c for c in rows.columns if c != "id"])
+        rows = rows.groupBy("id").agg(F.max_by(rest, "version").alias("last")).select("id", "last.*")
+    return rows.filter("alive").select("id", *state.attributes, "unit")
+
+
+def _buckets(spark: SparkSession, passages: int) -> int:
+    return passages // UNITS_PER_BUCKET + spark.sparkContext.defaultParallelism
+
+
+# -- segments ---------------------------------------------------------------------------------------
+
+
+def _members(docs: DataFrame, key: str, text: str, attributes: Sequence[str]) -> DataFrame:
     return docs.select(
-        F.col(key).alias("id"),
-        *attributes,
-        F.col(text).alias("text"),
-        unit_of(F.col(text), attributes).alias("unit"),
-        F.lit(parts).alias("parts"),
-        _id_part(key, parts),
+        F.col(key).alias("id"), *attributes, unit_of(F.col(text), attributes).alias("unit")
     )
 
 
-def _tokenise(members: DataFrame) -> DataFrame:
-    return one_text_per_unit(members, "unit", "text").select(
-        "unit", tokens(F.col("text")).alias("tokens")
+def one_text_per_unit(df: DataFrame, unit: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per unit. Rows of a unit are equal, so any of them will do; copies are dropped
+    inside each task before the shuffle."""
+    return df.groupBy(unit).agg(*[F.first(c).alias(c) for c in [text, *keep]])
+
+
+def _counted(texts: DataFrame, buckets: int) -> DataFrame:
+    """(unit, token, tf) of distinct texts. Token lists are dealt by unit once; the counts and the
+    buckets follow from that."""
+    return (
+        one_text_per_unit(texts, "unit", "text").select("unit", tokens(F.col("text")).alias("tokens"))
+        .repartition(buckets, "unit").select("unit", F.explode("tokens").alias("token"))
+        .groupBy("unit", "token").agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
@@ -108,25 +167,17 @@ def build_text_index(
 def store_passages(
     docs: DataFrame, path: str, key: str = "id", text: str = "text", attributes: Sequence[str] = ()
 ) -> None:
-    """The first two tables of a new index; more may be added before it is refreshed."""
-    n_docs = docs.count()
-    parts = min(MAX_ID_PARTS, n_docs // IDS_PER_PART + 1)
-    members = _members(docs, key, text, attributes, parts)
-    buckets = n_docs // UNITS_PER_BUCKET + docs.sparkSession.sparkContext.defaultParallelism
-    buckets = min(MAX_BUCKETS, buckets)
-    write_buckets(_tokenise(members), f"{path}/tokens", "unit", buckets, "unit")
-    _write_members(members.drop("text"), path)
-
-
-def _write_members(members: DataFrame, path: str) -> None:
-    """Replace exactly the buckets that the given rows fall into."""
-    (
-        members.repartition("bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(f"{path}/members")
+    """The first generation of an index, or one that replaces all passages of an older one."""
+    spark, segment = docs.sparkSession, uuid.uuid4().hex
+    last = head(spark, path)
+    members = _members(docs, key, text, attributes).withColumns(
+        {"alive": F.lit(True), "version": F.lit(last.generation + 1 if last else 1).cast("long")}
     )
+    stored = _put(members, f"{path}/members/{segment}")
+    state = {"postings": f"postings-{segment}", "buckets": _buckets(spark, stored.count())}
+    texts = docs.select(unit_of(F.col(text), attributes).alias("unit"), F.col(text).alias("text"))
+    _add_postings(_counted(texts, state["buckets"]), path, state, segment)
+    _commit(spark, path, last, segments=[segment], attributes=list(attributes), **state)
 
 
 def apply_changes(
@@ -137,109 +188,139 @@ def apply_changes(
     text: str = "text",
     attributes: Sequence[str] = (),
 ) -> None:
-    """Insert or replace the given passages and remove the deleted ids.
+    """Insert or replace the given passages and remove the deleted ids, as one more generation.
 
-    Repeating the same change leaves the same index, so a batch may be replayed after a failure.
-    Call ``refresh_text_index`` when the changes are complete.
+    Repeating the same change leaves the same passages, so a batch may be replayed after a failure.
+    The generation can be searched when ``refresh_text_index`` has derived its stats. Without
+    changes there is none.
     """
-    spark = docs.sparkSession
-    old = spark.read.parquet(f"{path}/members")
-    parts = old.select("parts").first().parts
-    new = _members(docs, key, text, attributes, parts)
-    # New content first: members never name a unit that has no tokens.
-    known = read_buckets(spark, f"{path}/tokens").select("unit")
-    append_buckets(_tokenise(new.join(known, "unit", "left_anti")), f"{path}/tokens")
-
-    changed = new.select("id", "bucket")
+    spark, segment = docs.sparkSession, uuid.uuid4().hex
+    state = head(spark, path)
+    new = _members(docs, key, text, attributes).withColumn("alive", F.lit(True))
     if deleted is not None:
-        changed = changed.union(deleted.select(F.col(key).alias("id"), _id_part(key, parts)))
-    # At most MAX_ID_PARTS rows come to the driver.
-    touched = [r.bucket for r in changed.select("bucket").distinct().collect()]
-    kept = old.filter(F.col("bucket").isin(touched)).join(changed, ["id", "bucket"], "left_anti")
-    rows = kept.unionByName(new.drop("text"))
-    # A bucket whose last passage is deleted has no rows to overwrite it with: keep its place
-    # with a row that names no passage.
-    if touched:
-        empty = spark.range(1).select(
-            F.explode(F.array(*map(F.lit, touched))).alias("bucket"), F.lit(parts).alias("parts")
-        )
-        rows = rows.unionByName(empty, allowMissingColumns=True)
-    _write_members(rows, path)
+        gone = deleted.select(F.col(key).alias("id"), F.lit(False).alias("alive"))
+        new = new.unionByName(gone, allowMissingColumns=True)
+    new = new.withColumn("version", F.lit(state.generation + 1).cast("long"))
+    new = _put(new, f"{path}/members/{segment}")
+    if new.isEmpty():
+        return
+    units = new.filter("alive").select("unit").distinct()
+    # The names of the new units go to the postings, not the other way round.
+    some = broadcast_if(units, 16, BROADCAST_BYTES)
+    known = _postings(spark, path, state).select("unit").join(some, "unit", "left_semi").distinct()
+    texts = docs.select(unit_of(F.col(text), attributes).alias("unit"), F.col(text).alias("text"))
+    fresh = texts.join(known, "unit", "left_anti")
+    _add_postings(_counted(fresh, state.buckets), path, state, segment)
+    state = _commit(spark, path, state, segments=[*state.segments, segment])
+    if len(state.segments) > MAX_SEGMENTS:
+        merge_segments(spark, path)
+
+
+def merge_segments(spark: SparkSession, path: str) -> None:
+    """Write live members and their postings into one segment, in buckets that fit their number."""
+    state, segment = head(spark, path), uuid.uuid4().hex
+    live = _live(spark, path, state).withColumns(
+        {"alive": F.lit(True), "version": F.lit(state.generation + 1).cast("long")}
+    )
+    live = _put(live, f"{path}/members/{segment}")
+    new = {"postings": f"postings-{segment}", "buckets": _buckets(spark, live.count())}
+    units = live.select("unit").distinct().repartition(state.buckets, "unit")
+    counts = _postings(spark, path, state).join(units, "unit", "left_semi").repartition(new["buckets"], "unit")
+    _add_postings(counts, path, new, segment)
+    _commit(spark, path, state, segments=[segment], **new)
 
 
-def refresh_text_index(spark: SparkSession, path: str) -> TextIndex:
-    """Derive weights from members and tokens. No text is read or tokenised again."""
-    members = spark.read.parquet(f"{path}/members").filter("id is not null")
-    attributes = [c for c in members.columns if c not in ("id", "unit", "parts", "bucket")]
-    units = members.groupBy("unit").agg(
-        F.min("id").alias("doc"), F.count("*").alias("n_copies"),
-        *[F.first(a).alias(a) for a in attributes],
-    )
-    n_docs = members.count()
+# -- what follows from a generation -----------------------------------------------------------------
 
-    (
-        members.join(units.select("unit", "doc"), "unit")
-        .select("doc", "id", *attributes)
-        .write.mode("overwrite")
-        .parquet(f"{path}/copies")
-    )
-    tokenised = read_buckets(spark, f"{path}/tokens").join(units, "unit")
-    (
-        tokenised.select("n_copies", F.explode(F.array_distinct("tokens")).alias("token"))
-        .groupBy("token")
-        .agg(F.sum("n_copies").alias("df"), F.count("*").alias("n_units"))
-        .select(
-            "token",
-            "df",
-            (F.log(F.lit(n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"),
-            F.ceil(F.col("n_units") / SHARD_ROWS).alias("shards"),
-        )
-        .write.mode("overwrite")
-        .parquet(f"{path}/vocab")
+
+def _frequencies(postings: DataFrame, units: DataFrame) -> DataFrame:
+    """(token, df, n_units): postings meet the number of copies in their bucket; sums leave it."""
+    return postings.select("unit", "token").join(units, "unit").groupBy("token").agg(
+        F.sum("n_copies").alias("df"), F.count(F.lit(1)).alias("n_units")
     )
-    vocab = spark.read.parquet(f"{path}/vocab")
-    rarity = vocab.select("token", "idf", "shards")
-    broadcast = small_enough(vocab, BROADCAST_VOCABULARY)
-    if broadcast:
-        rarity = F.broadcast(rarity)
 
+
+def _norms(postings: DataFrame, units: DataFrame, rarity: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """(unit, doc, norm, attributes), summed inside the buckets."""
     raw = F.col("tf") * F.col("idf")
-    buckets = buckets_of(spark, f"{path}/tokens")
-    # The one shuffle of the token lists, by doc, serves the counts, the norms and the buckets.
-    weights = (
-        tokenised.repartition(buckets, "doc")
-        .select("doc", *attributes, F.explode("tokens").alias("token"))
-        .groupBy("doc", *attributes, "token")
-        .agg(F.count("*").alias("tf"))
-        .join(rarity, "token")
-        .withColumn("norm", F.sqrt(F.sum(raw * raw).over(Window.partitionBy("doc"))))
-        .select("doc", "token", "tf", (raw / F.col("norm")).alias("w"), "shards", *attributes)
+    lengths = postings.join(rarity, "token").groupBy("unit").agg(F.sqrt(F.sum(raw * raw)).alias("norm"))
+    return units.join(lengths, "unit").select("unit", "doc", "norm", *attributes)
+
+
+def _weights(postings: DataFrame, units: DataFrame, vocab: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    rarity = _rarity(vocab)
+    w = F.col("tf") * F.col("idf") / F.col("norm")
+    return postings.join(units, "unit").join(rarity, "token").select(
+        "unit", "doc", "token", "tf", w.alias("w"), *attributes
     )
-    weights = write_buckets(
-        weights, f"{path}/weights", "doc", buckets, "token", placed=broadcast
+
+
+def _rarity(vocab: DataFrame) -> DataFrame:
+    return broadcast_if(vocab.select("token", "idf"), F.octet_length("token") + 24, BROADCAST_BYTES)
+
+
+def refresh_text_index(spark: SparkSession, path: str) -> TextIndex:
+    """Derive the stats of the last generation, unless they are there. No text is read or tokenised,
+    and postings stay in their buckets."""
+    state = head(spark, path)
+    if state.stats is not None:
+        return open_text_index(spark, path)
+    passages = _live(spark, path, state).select("unit").count()
+    if _buckets(spark, passages) > 2 * state.buckets:
+        merge_segments(spark, path)
+        state = head(spark, path)
+    stats = f"stats/{uuid.uuid4().hex}"
+    folder, attributes = f"{path}/{stats}", state.attributes
+    live = _put(_live(spark, path, state), f"{folder}/live")
+    postings = _postings(spark, path, state)
+    n_docs = live.count()
+    units = live.groupBy("unit").agg(
+        F.min("id").alias("doc"), F.count(F.lit(1)).alias("n_copies"),
+        *[F.first(a).alias(a) for a in attributes],
     )
-    (
-        best_per_key(
-            weights.drop("tf", "shards"), ["token"], [F.desc("w"), F.asc("doc")], CHAMPIONS
-        )
-        .drop("rank")
-        .write.mode("overwrite")
-        .parquet(f"{path}/champions")
+    units = _put_units(units, f"{folder}/copies", state.buckets)
+    vocab = _frequencies(postings, units).select(
+        "token", "df", (F.log(F.lit(n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"), "n_units"
     )
+    vocab = _put(vocab, f"{folder}/vocab")
+    units = _put_units(_norms(postings, units, _rarity(vocab), attributes), f"{folder}/units", state.buckets)
+    weights = _weights(postings, units, vocab, attributes).drop("tf")
+    best = best_per_key(weights, ["token"], [F.desc("w"), F.asc("doc")], CHAMPIONS).drop("rank")
+    _put(best, f"{folder}/champions")
+    _commit(spark, path, state, stats=stats, n_docs=n_docs)
     return open_text_index(spark, path)
 
 
+def _put_units(units: DataFrame, folder: str, buckets: int) -> DataFrame:
+    """A table by unit, in as many buckets as the postings."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema)
+    table = bucket_table(units.sparkSession, folder, columns, "unit", buckets, "unit")
+    units.repartition(buckets, "unit").write.insertInto(table)
+    return units.sparkSession.table(table)
+
+
 def open_text_index(spark: SparkSession, path: str) -> TextIndex:
-    members = spark.read.parquet(f"{path}/members")
-    copies = spark.read.parquet(f"{path}/copies")
+    """The last generation that can be searched."""
+    state = head(spark, path, derived=True)
+    folder = f"{path}/{state.stats}"
+    kinds = spark.read.parquet(f"{folder}/live").schema
+    columns = ", ".join(
+        f"`{name}` {kind}" for name, kind in [
+            ("unit", "binary"), ("doc", kinds["id"].dataType.simpleString()), ("norm", "double"),
+            *[(a, kinds[a].dataType.simpleString()) for a in state.attributes],
+        ]
+    )
+    units = bucket_table(spark, f"{folder}/units", columns, "unit", state.buckets, "unit")
     return TextIndex(
         path=path,
-        weights=read_buckets(spark, f"{path}/weights"),
-        vocab=spark.read.parquet(f"{path}/vocab"),
-        champions=spark.read.parquet(f"{path}/champions"),
-        copies=copies,
-        n_docs=copies.count(),
-        attributes=[c for c in members.columns if c not in ("id", "unit", "parts", "bucket")],
+        generation=state.generation,
+        postings=_postings(spark, path, state),
+        units=spark.table(units),
+        vocab=spark.read.parquet(f"{folder}/vocab"),
+        champions=spark.read.parquet(f"{folder}/champions"),
+        copies=spark.read.parquet(f"{folder}/live"),
+        n_docs=state.n_docs,
+        attributes=list(state.attributes),
     )
 
 
@@ -251,11 +332,10 @@ def sync_text_index(
     Only passages whose content changed are tokenised.
     """
     spark = docs.sparkSession
-    if not table_exists(spark, f"{path}/copies"):
+    state = head(spark, path)
+    if state is None:
         return build_text_index(docs, path, key, text, attributes)
-    old = spark.read.parquet(f"{path}/members").filter("id is not null").select(
-        F.col("id").alias(key), F.col("unit").alias("_unit")
-    )
+    old = _live(spark, path, state).select(F.col("id").alias(key), F.col("unit").alias("_unit"))
     named = docs.withColumn("_new_unit", unit_of(F.col(text), attributes))
     changed = (
         named.join(old, key, "left")
@@ -274,6 +354,6 @@ def indexed_rows(index: TextIndex) -> DataFrame:
 
 def weights_by_id(index: TextIndex) -> DataFrame:
     """The weight of every token in every passage, copies included."""
-    return index.copies.select("doc", "id").join(
-        index.weights.select("doc", "token", "tf", "w"), "doc"
+    return index.copies.select("unit", "id").join(
+        index.weights.select("unit", "token", "tf", "w"), "unit"
     ).select("id", "token", "tf", "w")

@@ -6,7 +6,7 @@ import hashlib
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTINGS = {
@@ -16,6 +16,8 @@ SETTINGS = {
     # A hot key is split at run time, even where that costs another shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Tables in buckets by one of several join keys are joined where they lie.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -62,73 +64,34 @@ def table_exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def _layout(spark: SparkSession, path: str) -> Row:
-    return spark.read.parquet(f"{path}-layout").first()
+def bucket_table(
+    spark: SparkSession, path: str, columns: str, by: str, buckets: int, sort: str
+) -> str:
+    """The name of a bucketed table over a folder, made where the catalogue does not know it yet.
 
-
-def _bucket_table(path: str, layout: Row) -> str:
-    """Spark knows buckets through a table only. Its name covers folder, columns and buckets, so
-    that a session never reads files with the layout of older ones."""
-    return "bucketed_" + hashlib.md5(f"{path} {tuple(layout)}".encode()).hexdigest()
-
-
-def write_buckets(
-    df: DataFrame, path: str, column: str, buckets: int, sort: str, placed: bool = False
-) -> DataFrame:
-    """Write rows into buckets by a hash of a column.
-
-    Later joins and sums by that column start from the files without a shuffle. ``placed``
-    says that the rows are already partitioned by the column into that many partitions.
+    Joins and sums by the bucket column start from its files without a shuffle. Rows are added by
+    ``insertInto``; deal them by the column into as many partitions first.
     """
-    spark = df.sparkSession
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    layout = Row(column=column, buckets=buckets, sort=sort, columns=columns)
-    table = _bucket_table(path, layout)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    _save_buckets(df, path, layout, "overwrite", placed)
-    values = [F.lit(value).alias(name) for name, value in layout.asDict().items()]
-    spark.range(1).select(*values).coalesce(1).write.mode("overwrite").parquet(f"{path}-layout")
-    return spark.table(table)
-
-
-def append_buckets(df: DataFrame, path: str) -> None:
-    """Add rows to the buckets."""
-    spark = df.sparkSession
-    read_buckets(spark, path)
-    _save_buckets(df, path, _layout(spark, path), "append", False)
-
-
-def _save_buckets(df: DataFrame, path: str, layout: Row, mode: str, placed: bool) -> None:
-    if not placed:
-        df = df.repartition(layout.buckets, layout.column)
-    (
-        df.write.mode(mode)
-        .format("parquet")
-        .bucketBy(layout.buckets, layout.column)
-        .sortBy(layout.sort)
-        .option("path", path)
-        .saveAsTable(_bucket_table(path, layout))
-    )
-
-
-def buckets_of(spark: SparkSession, path: str) -> int:
-    return _layout(spark, path).buckets
-
-
-def read_buckets(spark: SparkSession, path: str) -> DataFrame:
-    """The rows in their buckets, also in a session that did not write them."""
-    layout = _layout(spark, path)
-    table = _bucket_table(path, layout)
-    if spark.catalog.tableExists(table):
+    name = "bucketed_" + hashlib.md5(path.encode()).hexdigest()
+    if spark.catalog.tableExists(name):
         # Another session, such as a stream's, may have added files.
-        spark.catalog.refreshTable(table)
+        spark.catalog.refreshTable(name)
     else:
         spark.sql(
-            f"CREATE TABLE {table} ({layout.columns}) USING parquet "
-            f"CLUSTERED BY ({layout.column}) SORTED BY ({layout.sort}) "
-            f"INTO {layout.buckets} BUCKETS LOCATION '{path}'"
+            f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({sort}) "
+            f"INTO {buckets} BUCKETS LOCATION '{path}'"
         )
-    return spark.table(table)
+    return name
+
+
+def broadcast_if(df: DataFrame, row_bytes, limit: int) -> DataFrame:
+    """The table, to be broadcast if all its rows together have at most so many bytes.
+
+    ``row_bytes``: a number, or a column that tells a row's size.
+    """
+    size = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    total = df.agg(F.sum(size.cast("long")).alias("bytes")).first().bytes
+    return F.broadcast(df) if (total or 0) <= limit else df
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:

@@ -17,11 +17,10 @@ from hibiki.operators.ranking import latest_per_key
 from hibiki.operators.text_index import (
     TextIndex,
     apply_changes,
-    open_text_index,
+    head,
     refresh_text_index,
     store_passages,
 )
-from hibiki.session import table_exists
 
 
 def read_files(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -40,9 +39,10 @@ def sync_index_from_stream(
     attributes: Sequence[str] = (),
     newest: Sequence[Column] = (),
 ) -> TextIndex:
-    """Insert or replace the passages that have arrived, then derive the weights once.
+    """Insert or replace the passages that have arrived, then derive the index's stats once.
 
-    ``newest`` orders the versions of an id within a batch, newest first; without it an id may
+    Each batch is a generation of the index; the last one gets its stats also where an earlier run
+    failed before it could derive them. Readers keep the generation they opened. ``newest`` orders the versions of an id within a batch, newest first; without it an id may
     come only once per batch.
     """
     spark = passages.sparkSession
@@ -51,7 +51,7 @@ def sync_index_from_stream(
         if newest:
             batch = latest_per_key(batch, [key], newest)
         batch = batch.persist()
-        if table_exists(spark, f"{path}/members"):
+        if head(spark, path) is not None:
             apply_changes(batch, path, None, key, text, attributes)
         else:
             store_passages(batch, path, key, text, attributes)
@@ -64,10 +64,7 @@ def sync_index_from_stream(
         .start()
     )
     query.awaitTermination()
-    progressed = any(p["numInputRows"] > 0 for p in query.recentProgress)
-    if progressed or not table_exists(spark, f"{path}/champions"):
-        return refresh_text_index(spark, path)
-    return open_text_index(spark, path)
+    return refresh_text_index(spark, path)
 
 
 def enrich_stream(requests: DataFrame, customers: DataFrame, out: str, checkpoint: str) -> DataFrame:

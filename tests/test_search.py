@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hibiki.operators import text_index as TI
+from hibiki.operators import text_search
 from hibiki.operators.text_search import text_topk, tiered_topk
 from hibiki.session import new_path
 
@@ -77,18 +79,18 @@ def index(spark):
     return TI.build_text_index(df, new_path(spark, "t"), attributes=["applicable_tier"])
 
 
-@pytest.mark.parametrize("broadcast_tokens", [10**6, 0])
+@pytest.mark.parametrize("broadcast_bytes", [10**8, 0])
 @pytest.mark.parametrize("k", [1, 3, 500])
-def test_ranking_is_exact(spark, index, broadcast_tokens, k):
+def test_ranking_is_exact(spark, index, broadcast_bytes, k):
     docs, asked = corpus()
     requests = spark.createDataFrame(asked, "request_id int, text string")
-    got = text_topk(index, requests, k, broadcast_tokens=broadcast_tokens)
+    got = text_topk(index, requests, k, broadcast_bytes=broadcast_bytes)
     got = rows(got.select("request_id", "rank", "id", "score"), "request_id", "rank")
     check(got, brute_force(docs, asked, k))
 
 
-@pytest.mark.parametrize("broadcast_tokens", [10**6, 0])
-def test_pruned_and_in_place_agree_for_allowed_passages(spark, index, broadcast_tokens):
+@pytest.mark.parametrize("broadcast_bytes", [10**8, 0])
+def test_pruned_and_in_place_agree_for_allowed_passages(spark, index, broadcast_bytes):
     docs, asked = corpus()
     tiers = ["gold", "silver", "standard", "", None]
     asked = [(q, t, tiers[i % 5]) for i, (q, t) in enumerate(asked)]
@@ -99,7 +101,7 @@ def test_pruned_and_in_place_agree_for_allowed_passages(spark, index, broadcast_
 
     from hibiki.functions.tiers import tier_allows
     got = text_topk(
-        index, requests, 3, attributes=["customer_tier"], broadcast_tokens=broadcast_tokens,
+        index, requests, 3, attributes=["customer_tier"], broadcast_bytes=broadcast_bytes,
         allow=lambda: tier_allows(F.col("applicable_tier"), F.col("customer_tier")),
     )
     got = rows(got.select("request_id", "rank", "id", "score"), "request_id", "rank")
@@ -166,15 +168,15 @@ def test_sync_equals_rebuild(spark):
     assert everything(TI.refresh_text_index(spark, path)) == everything(rebuilt)
 
 
-@pytest.mark.parametrize("broadcast_tokens", [0, 10**6])
-def test_a_key_with_two_texts_asks_twice(spark, broadcast_tokens):
+@pytest.mark.parametrize("broadcast_bytes", [0, 10**8])
+def test_a_key_with_two_texts_asks_twice(spark, broadcast_bytes):
     docs = [(1, "red apple", "all"), (2, "blue plum", "all")]
     index = TI.sync_text_index(
         spark.createDataFrame(docs, DOCS), new_path(spark, "twice"), "id", attributes=["applicable_tier"]
     )
     asked = [(7, "red apple"), (7, "blue plum"), (8, "blue plum"), (None, "red apple")]
     found = text_topk(index, spark.createDataFrame(asked, "request_id int, text string"), 1,
-                      broadcast_tokens=broadcast_tokens)
+                      broadcast_bytes=broadcast_bytes)
     got = sorted((r.request_id or 0, r.rank, r.id, r.score) for r in found.collect())
     assert got == [(0, 1, 1, 1.0), (7, 1, 1, 1.0), (7, 1, 2, 1.0), (8, 1, 2, 1.0)]
 
@@ -190,24 +192,144 @@ def test_removing_everything(spark):
 
 
 def test_index_opens_in_a_session_that_does_not_know_it(spark, index):
-    from hibiki.session import _bucket_table, _layout
-    path = f"{index.path}/weights"
-    spark.sql(f"DROP TABLE {_bucket_table(path, _layout(spark, path))}")
-    opened = TI.open_text_index(spark, index.path)
-    assert everything(opened) == everything(index.__class__(**{**index.__dict__,
-                                                              "weights": opened.weights}))
-    plan = opened.weights.groupBy("doc").agg(F.sum("w"))._jdf.queryExecution().toString()
-    assert "Exchange" not in plan
+    for folder in (index.postings.inputFiles()[0], index.units.inputFiles()[0]):
+        name = "bucketed_" + hashlib.md5(re.sub("/[^/]*$", "", folder).replace("file://", "").encode()).hexdigest()
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    assert everything(TI.open_text_index(spark, index.path)) == everything(index)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_sync_leaves_postings_in_their_buckets(spark, index):
+    """Deriving idf and norms sums inside the buckets; only sums per token are dealt out."""
+    units = index.units.select("unit", F.lit(1).alias("n_copies"), "doc", "applicable_tier")
+    for derived in (
+        TI._frequencies(index.postings, units),
+        TI._norms(index.postings, units, F.broadcast(index.vocab.select("token", "idf")), index.attributes),
+        index.weights,
+    ):
+        assert "hashpartitioning(unit" not in plan(derived) and "Cartesian" not in plan(derived)
 
 
 def test_in_place_search_does_not_shuffle_the_index(spark, index):
-    from hibiki.operators.text_search import _scores_in_place
-    asked = spark.createDataFrame([(1, "w1", 0.5, 3, 1)],
-                                  "asker int, token string, qw double, df long, shards long")
-    scores = _scores_in_place(index, asked, lambda: F.lit(True))
-    plan = scores._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
-    assert "hashpartitioning" not in plan
+    split = spark.createDataFrame(
+        [(b"q", "w1", 0.5, 1.0, 0.1, False, 0.0, 0.0)],
+        "asker binary, token string, qw double, idf double, floor double, skipped boolean, length double, most double",
+    )
+    found = text_search._found(index, split, lambda: F.lit(True), [], 10**8)
+    assert "BroadcastHashJoin" in plan(found) and "hashpartitioning(unit" not in plan(found)
+    assert "hashpartitioning(token" not in plan(found)
+    apart = plan(text_search._found(index, split, lambda: F.lit(True), [], 0))
+    assert "NestedLoop" not in apart and "Cartesian" not in apart
+
+
+def test_a_floor_drops_pairs_without_changing_the_ranking(spark):
+    """Many passages share frequent tokens; few share the requests' rare ones."""
+    rng = random.Random(1)
+    docs = [(i, " ".join(["the", "of", "and"] * 2 + rng.choices([f"r{j}" for j in range(400)], k=4)), "all")
+            for i in range(400)]
+    asked = [(i, docs[7 * i][1]) for i in range(30)]
+    index = TI.build_text_index(spark.createDataFrame(docs, DOCS), new_path(spark, "t"), attributes=["applicable_tier"])
+    requests = spark.createDataFrame(asked, "request_id int, text string")
+    named = requests.select(TI.unit_of(F.col("text"), []).alias("asker"), "text")
+    tokens = text_search._request_tokens(index, named, [])
+    split = text_search._split(index, tokens, lambda: F.lit(True), 1)
+    pairs = split.filter("not skipped").join(index.postings, "token").select("asker", "unit").distinct().count()
+    assert pairs < 0.1 * len(asked) * len(docs)
+    got = text_topk(index, requests, 1).select("request_id", "rank", "id", "score")
+    check(rows(got, "request_id", "rank"), brute_force(docs, asked, 1))
+
+
+# -- generations ------------------------------------------------------------------------------------
+
+
+class Stopped(Exception):
+    pass
+
+
+def stop_at(monkeypatch, nth):
+    """Let the n-th write of a sync fail."""
+    left = [nth]
+
+    def guarded(f):
+        def write(*a, **b):
+            left[0] -= 1
+            if left[0] == 0:
+                raise Stopped
+            return f(*a, **b)
+        return write
+
+    for name in ("_put", "_put_units", "_add_postings", "_commit"):
+        monkeypatch.setattr(TI, name, guarded(getattr(TI, name)))
+
+
+OLD = [(i, f"common word{i % 5} text{i}", "all") for i in range(30)]
+NOW = [(i, t + (" new" if i % 4 == 0 else ""), a) for i, t, a in OLD if i % 7] + [(99, "added later", "gold")]
+
+
+@pytest.fixture(scope="module")
+def rebuilt(spark):
+    index = TI.build_text_index(spark.createDataFrame(NOW, DOCS), new_path(spark, "t"), attributes=["applicable_tier"])
+    return everything(index)
+
+
+@pytest.fixture
+def few_buckets(monkeypatch):
+    monkeypatch.setattr(TI, "_buckets", lambda spark, n: n // TI.UNITS_PER_BUCKET + 2)
+
+
+def test_a_sync_that_fails_at_any_write_and_runs_again(spark, rebuilt, monkeypatch, few_buckets):
+    path, options = new_path(spark, "t"), dict(attributes=["applicable_tier"])
+    tables = [spark.createDataFrame(t, DOCS) for t in (OLD, NOW)]
+    index, seen = TI.sync_text_index(tables[0], path, **options), {1: rebuilt}
+    seen[0] = everything(index)
+    for nth in range(1, 10):  # members, postings, generation, five tables of stats, generation
+        now = nth % 2
+        with monkeypatch.context() as patch:
+            stop_at(patch, nth)
+            with pytest.raises(Stopped):
+                TI.sync_text_index(tables[now], path, **options)
+        # Whatever was written, readers still see the generation before.
+        opened = TI.open_text_index(spark, path)
+        assert opened.generation == index.generation and everything(opened) == seen[1 - now]
+        index = TI.sync_text_index(tables[now], path, **options)
+        assert everything(index) == seen[now]
+        assert everything(opened) == seen[1 - now]  # one that was opened stays as it is
+
+
+def test_a_build_that_fails_and_runs_again(spark, rebuilt, monkeypatch, few_buckets):
+    for nth in (2, 3, 6):
+        path, options = new_path(spark, "t"), dict(attributes=["applicable_tier"])
+        with monkeypatch.context() as patch:
+            stop_at(patch, nth)
+            with pytest.raises(Stopped):
+                TI.sync_text_index(spark.createDataFrame(NOW, DOCS), path, **options)
+        assert TI.head(spark, path, derived=True) is None
+        assert everything(TI.sync_text_index(spark.createDataFrame(NOW, DOCS), path, **options)) == rebuilt
+
+
+def test_segments_are_merged_and_the_dead_left_behind(spark, rebuilt, monkeypatch, few_buckets):
+    monkeypatch.setattr(TI, "MAX_SEGMENTS", 3)
+    path, options = new_path(spark, "t"), dict(attributes=["applicable_tier"])
+    TI.sync_text_index(spark.createDataFrame(OLD, DOCS), path, **options)
+    for i in range(1, 4):
+        now = [(k, f"{t} {i}", a) for k, t, a in NOW] if i < 3 else NOW
+        index = TI.sync_text_index(spark.createDataFrame(now, DOCS), path, **options)
+    assert TI.head(spark, path).segments and len(TI.head(spark, path).segments) == 1
+    assert everything(index) == rebuilt
+    assert index.postings.join(index.copies, "unit", "left_anti").isEmpty()
+
+
+def test_buckets_grow_with_the_passages(spark, monkeypatch):
+    path = new_path(spark, "t")
+    TI.sync_text_index(spark.createDataFrame(OLD[:1], DOCS), path)
+    small = TI.head(spark, path).buckets
+    monkeypatch.setattr(TI, "UNITS_PER_BUCKET", 1)
+    index = TI.sync_text_index(spark.createDataFrame(OLD, DOCS), path)
+    assert TI.head(spark, path).buckets > 2 * small
+    assert everything(index) == everything(TI.build_text_index(spark.createDataFrame(OLD, DOCS), new_path(spark, "t")))
 
 
 CASES = [
