@@ -34,9 +34,10 @@ def _sized(docs: DataFrame, key: str, text: str, source: str, seed: int) -> Data
     own = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")),
                    F.lit(":"), F.coalesce(F.col(text), F.lit("")))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    # Columns are carried in a struct, so that none can clash.
     return docs.select(
-        *docs.columns, size.alias("_size"), F.md5(own).alias("_order"),
-        F.col(source).alias("_source"),
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(key).alias("key"), size.alias("_size"),
+        F.md5(own).alias("_order"), F.col(source).alias("_source"),
     )
 
 
@@ -153,10 +154,10 @@ def shares(
     """Per row: its key, size, source_size, target, copies and the words the mix takes of it."""
     prepare(docs.sparkSession)
     sized = _sized(docs.select(key, text, source), key, text, source, seed)
-    sized = write_out(sized.select(key, "_size", "_order", "_source"), "sized")
+    sized = write_out(sized.select("key", "_size", "_order", "_source"), "sized")
     plan, ranges = _plan(sized, weights, share, epochs)
     return _copies(sized, plan, ranges).select(
-        key, F.col("_size").alias("size"), "source_size", "target", F.col("_copies").alias("copies"),
+        F.col("key").alias(key), F.col("_size").alias("size"), "source_size", "target", F.col("_copies").alias("copies"),
         (F.col("_copies") * F.col("_size")).alias("taken"),
     )
 
@@ -174,5 +175,5 @@ def mix(
     return (
         _copies(sized, plan, ranges).filter("_copies > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-        .select(*docs.columns)
+        .select("row.*")
     )

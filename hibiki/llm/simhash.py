@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hibiki.llm.common import mix, once, prepare, span_hashes
+from hibiki.llm.common import once, prepare
 from hibiki.llm.components import connected
 from hibiki.llm.golay import Golay
 from hibiki.session import write_out
@@ -34,12 +34,6 @@ from hibiki.session import write_out
 MAX_BITS = 2  # what the keys are made for
 #: Distinct fingerprints under a key from which on they are linked through their neighbours.
 CROWDED = 64
-#: Jaccard similarity of shingle sets from which on texts are near duplicates.
-SIMILARITY = 0.8
-#: Texts of that similarity share a band key but once in 2500 times (1 - (1 - 0.8 ** 5) ** 20).
-BANDS, BAND_ROWS = 20, 5
-#: Texts of a key, about, that are compared with all others left there in the first round after its ends.
-FIRST_TURNS = 4
 #: Rows of a few numbers each that may be broadcast, so that fewer texts are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -151,13 +145,14 @@ def near_duplicates(
     rows = write_out(add_fingerprints(docs, "fp", words, text, [key]), "fingerprints")
     prints = write_out(rows.groupBy("fp").agg(F.min(key).alias("least")), "prints")
     roots = write_out(connected(links(prints, crowded)).withColumnRenamed("node", "fp"), "roots")
-    least = (
-        roots.join(prints, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    )
+    # Written, so that joins on a hot root or fingerprint meet two shuffled sides and can be split.
+    least = roots.join(prints, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    least = write_out(least, "component-ids")
     found = (
         prints.join(roots.join(least, "root"), "fp", "left")
         .select("fp", F.coalesce("component_id", "least").alias("component_id"))
     )
+    found = write_out(found, "components")
     return rows.join(found, "fp").select(key, "fp", "component_id")
 
 
@@ -165,192 +160,37 @@ def hexadecimal(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# -- by similarity ----------------------------------------------------------------------------------
-
-
-def _bands(hashes: np.ndarray) -> list[int]:
-    """Keys that texts of some similarity share: hashes of a few minima each."""
-    if not len(hashes):
-        return [0] * BANDS
-    odd = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-    least = np.full(len(odd), 2 ** 64 - 1, np.uint64)
-    for i in range(0, len(hashes), 1 << 12):
-        least = np.minimum(least, (hashes[i:i + (1 << 12), None] * odd).min(axis=0))
-    rows = np.arange(0, len(odd) + 1, BAND_ROWS)
-    return span_hashes(least, rows[:-1], rows[1:]).view(np.int64).tolist()
-
-
-def _sketch(docs: DataFrame, words: int, text: str) -> DataFrame:
-    """All columns, _fp, _size (of the set of shingles), _bands and _content (a hash of the text)."""
-    keep = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints, sizes, bands = [], [], []
-            for whole in batch.column(len(keep)).to_pylist():
-                hashes = shingle_hashes(whole, words)
-                prints.append(simhash(hashes))
-                sizes.append(len(np.unique(hashes)))
-                bands.append(_bands(hashes))
-            prints = np.array(prints, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(prints), pa.array(sizes, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64()))],
-                [*keep, "_fp", "_size", "_bands"],
-            )
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType()),
-                           T.StructField("_size", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType()))])
-    own = F.coalesce(F.col(text), F.lit("")).alias("_text")
-    return docs.select(*keep, own).mapInArrow(run, schema).withColumn(
-        "_content", F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    )
-
-
-def _groups(texts: DataFrame, leads: DataFrame, linked: DataFrame) -> DataFrame:
-    """(key, _content, size, low, high): texts that meet under a key, and its two ends.
-
-    Texts meet under band keys, under equal fingerprints, and under two linked fingerprints one of
-    which several texts have. ``texts``: distinct _content, _fp, _size, _bands.
-    """
-    bands = texts.select("_content", F.col("_size").alias("size"), F.posexplode("_bands").alias("band", "value"))
-    bands = bands.select(F.xxhash64("band", "value").alias("key"), "_content", "size")
-    own = texts.select(F.xxhash64(F.lit("fp"), "_fp").alias("key"), "_content", F.col("_size").alias("size"))
-    several = leads.filter("texts > 1").select("_fp")
-    crowds = (
-        linked.join(several.selectExpr("_fp AS a"), "a", "left_semi")
-        .unionByName(linked.join(several.selectExpr("_fp AS b"), "b", "left_semi")).distinct()
-    )
-    sides = crowds.select(F.xxhash64(F.lit("link"), "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("_fp"))
-    both = sides.join(texts, "_fp").select("key", "_content", F.col("_size").alias("size"))
-    keys = bands.unionByName(own).unionByName(both)
-    ends = keys.groupBy("key").agg(F.min("_content").alias("low"), F.max("_content").alias("high"))
-    return keys.join(ends.filter("low <> high"), "key")
-
-
-def _ordered(x: str, y: str) -> list[F.Column]:
-    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
-
-
-def _candidates(leads: DataFrame, linked: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs a > b of content hashes to compare first: every text of a key with the key's two ends,
-    so that a group makes two pairs a text. ``_joined`` sees to the others."""
-    near = (
-        linked.join(leads.selectExpr("_fp AS a", "lead AS x"), "a")
-        .join(leads.selectExpr("_fp AS b", "lead AS y"), "b").select("x", "y")
-    )
-    met = groups.select(F.col("_content").alias("x"), F.explode(F.array("low", "high")).alias("y"))
-    return near.unionByName(met).filter("x <> y").select(*_ordered("x", "y")).distinct()
-
-
-def _joined(
-    groups: DataFrame, compared: DataFrame, similar: DataFrame, whole: DataFrame, words: int,
-    similarity: float,
-) -> DataFrame:
-    """(_content, root): components of similar texts, all texts of a key being compared or joined.
-
-    In each round some texts of every key that still holds different components are compared with
-    all that is left there of other components, and are then done with the key; their number grows
-    fourfold. It ends when all that is left under each key is one component. Only texts whose
-    numbers of shingles rule out the similarity are not compared.
-    """
-    left = groups.filter("_content <> low AND _content <> high").select("key", "_content", "size")
-    roots = write_out(connected(similar).withColumnRenamed("node", "_content"), "roots")
-    turns = FIRST_TURNS
-    while True:
-        left = left.join(roots, "_content", "left").withColumn("root", F.coalesce("root", "_content"))
-        mixed = left.groupBy("key").agg(
-            F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")
-        )
-        left = write_out(left.join(mixed.filter("least <> most").select("key", "n"), "key"), "left")
-        if left.isEmpty():
-            return roots
-        turn = F.pmod(F.xxhash64("_content", "key"), F.col("n")) < turns
-        alike = F.least("l.size", "r.size") >= similarity * F.greatest("l.size", "r.size")
-        pairs = (
-            left.filter(turn).alias("l")
-            .join(left.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & alike)
-            .select(*_ordered("l._content", "r._content")).distinct()
-        )
-        pairs = write_out(pairs.join(compared, ["a", "b"], "left_anti"), "candidates")
-        found = write_out(_verified(pairs, whole, words, similarity), "similar")
-        compared = compared.unionByName(pairs)
-        left = left.filter(~turn).select("key", "_content", "size")
-        turns *= 4
-        if not found.isEmpty():
-            links_ = roots.selectExpr("_content AS a", "root AS b").unionByName(found)
-            roots = write_out(connected(links_).withColumnRenamed("node", "_content"), "roots")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles have at least this Jaccard similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
-        for batch in batches:
-            good = []
-            for a, left, right in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-                if a != last:
-                    last, own = a, set(shingle_hashes(left, words).tolist())
-                other = set(shingle_hashes(right, words).tolist())
-                both = len(own & other)
-                good.append(both >= similarity * (len(own) + len(other) - both))
-            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
-
-    joined = pairs.join(texts.selectExpr("_content AS b", "_text AS right"), "b").join(
-        texts.selectExpr("_content AS a", "_text AS left"), "a"
-    )
-    return joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
-
-
 def one_of_each(
-    docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, key: str = "doc_id",
-    text: str = "text",
+    docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text", crowded: int = CROWDED
 ) -> DataFrame:
-    """The rows with the smallest key of every group of near duplicates; all columns are kept.
-
-    Fingerprints within two bits, found by their Golay keys, only meet nearly equal texts; texts
-    of lower similarity meet under keys made of minimum hashes of their shingles. Whatever meets
-    is compared exactly, unless others have joined it already or the numbers of shingles rule the
-    similarity out, and groups are the connected components of similar texts.
+    """The rows with the smallest key of every group that ``near_duplicates`` links, with all columns.
 
     Among equal keys the smallest content hash stays; of wholly equal rows, one. Rows with a null
-    key stay only where the group has no other key. Texts without words are one group.
+    key stay only where the group has no other key. Texts without words are one group. Columns are
+    carried in a struct, so that none can clash.
     """
     prepare(docs.sparkSession)
-    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    rows = write_out(_sketch(own, words, "t").drop("t"), "sketches")
-    texts = write_out(
-        rows.groupBy("_content").agg(*[F.any_value(c).alias(c) for c in ("_fp", "_size", "_bands")]),
-        "texts",
-    )
-    leads = texts.groupBy("_fp").agg(F.min("_content").alias("lead"), F.count(F.lit(1)).alias("texts"))
-    leads = write_out(leads, "leads")
-    linked = write_out(links(leads.select(F.col("_fp").alias("fp"))), "linked")
-    groups = write_out(_groups(texts, leads, linked), "groups")
-    pairs = write_out(_candidates(leads, linked, groups), "candidates")
-    met = pairs.selectExpr("a AS _content").unionByName(pairs.selectExpr("b AS _content")).distinct()
-    met = write_out(met, "met")
-    content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    whole = docs.select(content.alias("_content"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    whole = whole.join(_small(met), "_content", "left_semi").dropDuplicates(["_content"])
-    whole = write_out(whole, "met-texts")
-    similar = write_out(_verified(pairs, whole, words, similarity), "similar")
-    roots = _joined(groups, pairs, similar, whole, words, similarity)
-    # Rows are few columns here; each group is reduced to its first before any shuffle.
-    each = rows.groupBy("k", "_content").agg(F.count(F.lit(1)).alias("n"))
-    each = each.join(roots, "_content", "left").withColumn("root", F.coalesce("root", "_content"))
-    rank = F.struct(F.col("k").isNull(), F.col("k"), F.col("_content"))
-    firsts = each.groupBy("root").agg(F.min(rank).alias("first"))
-    each = each.join(firsts, "root").withColumn("stays", rank.eqNullSafe(F.col("first")))
-    # What does not simply stay: rows to drop, and equal rows of which one stays.
-    others = write_out(each.filter("NOT stays OR n > 1").select("k", "_content", "stays"), "others")
-    names = docs.columns
-    marked = docs.select(*names, content.alias("_content"))
-    same = F.col(key).eqNullSafe(F.col("k")) & (marked["_content"] == others["_content"])
-    single = marked.join(_small(others), same, "left_anti").select(*names)
-    equal = marked.join(_small(others.filter("stays")), same, "left_semi")
-    return single.unionByName(equal.dropDuplicates([key, "_content"]).select(*names))
+    content = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    own = docs.select(F.col(key).alias("k"), content.alias("c"), F.col(text).alias("t"))
+    rows = write_out(add_fingerprints(own, "fp", words, "t", ["k", "c"]), "fingerprints")
+    rank = F.struct(F.col("k").isNull().alias("none"), F.col("k"), F.col("c"))
+    prints = write_out(rows.groupBy("fp").agg(F.min(rank).alias("first")), "prints")
+    roots = write_out(connected(links(prints, crowded)).withColumnRenamed("node", "fp"), "roots")
+    tied = prints.join(roots, "fp")
+    least = write_out(tied.groupBy("root").agg(F.min("first").alias("least")), "firsts")
+    tied = roots.join(least, "root").select("fp", "least")
+    firsts = prints.join(tied, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
+    firsts = write_out(firsts, "firsts")
+    # Rows are few columns here. What does not simply stay: rows to drop, and equal rows of which one stays.
+    each = rows.groupBy("k", "c", "fp").agg(F.count(F.lit(1)).alias("n")).join(firsts, "fp")
+    each = each.withColumn("stays", rank.eqNullSafe(F.col("first")))
+    others = write_out(each.filter("NOT stays OR n > 1").select("k", "c", "stays"), "others")
+    carried = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(key).alias("own"),
+                          content.alias("content"))
+    same = F.col("own").eqNullSafe(F.col("k")) & (F.col("content") == F.col("c"))
+    single = carried.join(_small(others), same, "left_anti")
+    equal = carried.join(_small(others.filter("stays")), same, "left_semi").dropDuplicates(["own", "content"])
+    return single.unionByName(equal).select("row.*")
 
 
 def _small(rows: DataFrame) -> DataFrame:
