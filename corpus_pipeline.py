@@ -1,7 +1,7 @@
 """From documents to token ids: five stages, each written and read again before the next.
 
 toxicity drops documents above their language's threshold; near duplicates keeps one document of
-each group; personal data replaces what it finds in the texts; mixing takes documents as often as
+each group that SimHash fingerprints of three-word shingles link within two bits; personal data replaces what it finds in the texts; mixing takes documents as often as
 their source's target says; byte-level BPE returns the ids of every text, and what they decode to.
 """
 
@@ -22,7 +22,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, words=3)
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
