@@ -229,6 +229,14 @@ _TIER = """CASE WHEN len(p) = 0 THEN 3 ELSE CASE len(list_filter(list_distinct(p
 _PERCENT = "list_transform(regexp_extract_all({c}, '([0-9]+)\\s*%', 1), lambda x: x::INTEGER)"
 _JUDGE = TIER_COMPLIANCE
 
+_LONG = """long AS (SELECT 'tier_percentages/score' AS metric, tier_percentages AS score FROM m
+          UNION ALL SELECT 'safety_words/score', safety_words FROM m
+          UNION ALL SELECT 'exact_match/score', exact_match FROM m
+          UNION ALL SELECT 'token_f1/score', 1 + 4 * round(coalesce(2 * same / nullif(r + e, 0), 0), 6)
+            FROM f1
+          UNION ALL SELECT 'lexical_relevance/score', 1 + 4 * round(relevance, 6) FROM rel
+          UNION ALL SELECT 'context_support/score', 1 + 4 * round(support, 6) FROM sup)"""
+
 SQL = {
     "low_scores": S.with_(S.SCORES) + "SELECT * FROM long WHERE score < 3.5",
     "score_cols": S.with_(S.SCORES) + """SELECT doc_id, quality AS "quality/score",
@@ -306,13 +314,7 @@ SQL = {
             = regexp_extract_all(lower(expected_response), '{S.WORD}'))::INTEGER AS exact_match
           FROM (SELECT *, {_PERCENT.format(c='response')} AS p
             FROM pairs LEFT JOIN cust USING (customer_id)))""",
-        """long AS (SELECT 'tier_percentages/score' AS metric, tier_percentages AS score FROM m
-          UNION ALL SELECT 'safety_words/score', safety_words FROM m
-          UNION ALL SELECT 'exact_match/score', exact_match FROM m
-          UNION ALL SELECT 'token_f1/score', 1 + 4 * round(coalesce(2 * same / nullif(r + e, 0), 0), 6)
-            FROM f1
-          UNION ALL SELECT 'lexical_relevance/score', 1 + 4 * round(relevance, 6) FROM rel
-          UNION ALL SELECT 'context_support/score', 1 + 4 * round(support, 6) FROM sup)""",
+        _LONG,
     ) + """SELECT metric, round(avg(score), 4) AS mean_score, count(score) AS n_scores
         FROM long GROUP BY 1""",
 }

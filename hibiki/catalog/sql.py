@@ -113,4 +113,39 @@ def best(name: str, source: str, k: int, where: str = "true", keys: str = "q") -
   WHERE rank <= {k})"""
 
 
+def _pairs(name: str, source: str, key: str, id: str) -> str:
+    """Buckets of neighbouring characters and how often each comes: {name}(id, bucket, n)."""
+    return f"""{name} AS (SELECT {id}, bucket, count(*) AS n FROM (SELECT {id},
+    ((unicode(p[1])::BIGINT * 65599 + unicode(p[2])) * 40503 % 65536 % 256)::INTEGER AS bucket FROM (
+      SELECT {id}, substr(t, i::INTEGER, 2) AS p FROM (SELECT {id}, t, unnest(range(1, length(t))) AS i
+        FROM (SELECT {key} AS {id}, lower(text) AS t FROM {source})))
+    WHERE regexp_full_match(p, '(?s)[^\\x20\\x09-\\x0D]{{2}}')) GROUP BY 1, 2)"""
+
+
+def pair_vectors(name: str, source: str, key: str) -> list[str]:
+    """Unit vectors of a table of texts: {name}_v(id, bucket, value), {name}_m(bucket, weight)."""
+    return [
+        _pairs(f"{name}_p", source, key, "id"),
+        f"""{name}_m AS (SELECT bucket, ln((n + 1) / (df + 1)) + 1 AS weight FROM
+  (SELECT bucket, count(*) AS df FROM {name}_p GROUP BY 1), (SELECT count(*) AS n FROM {source}))""",
+        f"""{name}_v AS (SELECT id, bucket, (n * weight / sqrt(sum(n * weight * n * weight) OVER (PARTITION BY id)))::FLOAT::DOUBLE
+  AS value FROM {name}_p JOIN {name}_m USING (bucket))""",
+    ]
+
+
+def pair_scores(name: str, index: str, source: str, key: str) -> str:
+    """All scores of requests by these vectors: {name}(q, id, score), 0 for texts without a common pair.
+
+    Buckets that no stored text has weigh as much as if none had been counted.
+    """
+    return f"""{_pairs(f"{name}_p", source, key, "q")},
+{name}_r AS (SELECT q, bucket, n * coalesce(weight, ln(total + 1) + 1) AS w FROM {name}_p
+  LEFT JOIN {index}_m USING (bucket), (SELECT count(*) AS total FROM documents)),
+{name}_v AS (SELECT q, bucket, (w / sqrt(sum(w * w) OVER (PARTITION BY q)))::FLOAT::DOUBLE AS value FROM {name}_r),
+{name} AS (SELECT q, id, round(coalesce(score, 0), 6) AS score FROM
+  (SELECT {key} AS q, doc_id AS id FROM {source}, documents) LEFT JOIN
+  (SELECT a.q, b.id, sum(a.value * b.value) AS score FROM {name}_v a JOIN {index}_v b USING (bucket) GROUP BY 1, 2)
+  USING (q, id))"""
+
+
 ALLOWS = "(applicable_tier = 'all' OR contains(applicable_tier, customer_tier))"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hibiki import constants as C
 from hibiki.operators.text_index import TextIndex, build_text_index, open_text_index
+from hibiki.operators.vector_table import VectorTable, open_vectors, store_text_vectors
 from hibiki.session import configure, new_path
 
 TABLES = [
@@ -205,14 +206,28 @@ def case_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     return _index(spark, sf_dir, "cases", lambda: cases(spark, sf_dir), "case_id", [])
 
 
-def _index(spark, sf_dir, name, docs, key, attributes) -> TextIndex:
+def kept(spark: SparkSession, sf_dir: str, name: str, make) -> str:
+    """The path that ``make`` was given to write to, once per session and table folder."""
     configure(spark)
     known = (spark.sparkContext.applicationId, sf_dir, name)
-    if known in _indexes:
-        return open_text_index(spark, _indexes[known])
-    index = build_text_index(docs(), new_path(spark, name), key, "text", attributes)
-    _indexes[known] = index.path
-    return index
+    if known not in _indexes:
+        path = new_path(spark, name)
+        make(path)
+        _indexes[known] = path
+    return _indexes[known]
+
+
+def kb_vectors(spark: SparkSession, sf_dir: str) -> VectorTable:
+    """The passages' vectors with their model, stored once per session and table folder."""
+    path = kept(spark, sf_dir, "kb-vectors", lambda path: store_text_vectors(
+        kb(spark, sf_dir), path, "id", "text", ["applicable_tier"]
+    ))
+    return open_vectors(spark, path, ["applicable_tier"], texts=True)
+
+
+def _index(spark, sf_dir, name, docs, key, attributes) -> TextIndex:
+    path = kept(spark, sf_dir, name, lambda path: build_text_index(docs(), path, key, "text", attributes))
+    return open_text_index(spark, path)
 
 
 def forget_indexes() -> None:

@@ -11,7 +11,7 @@ from hibiki import schemas
 from hibiki.functions.text import silver_text
 from hibiki.operators.changes import key_violations
 from hibiki.operators.enrich import vehicle_id_list
-from hibiki.sources.landing import ingest_report, landed_tables, row_counts
+from hibiki.sources.landing import counted, ingest_report, landed_tables, observed_counts
 from hibiki.sources.tables import create_namespace, save_table
 
 
@@ -45,8 +45,10 @@ def build_silver(
 
     create_namespace(spark, database)
     found = landed_tables(spark, folder, lines)
+    seen = {}
     for name, df in found.items():
-        save(df, f"{name}_bronze")
+        rows, seen[name] = counted(df)
+        save(rows, f"{name}_bronze")
     bronze = {name: spark.table(f"`{database}`.`{name}_bronze`") for name in found}
     silver = {
         "faq": ("faq_silver", with_silver_text),
@@ -61,5 +63,5 @@ def build_silver(
             stored = spark.table(f"`{database}`.`{table}`")
             violations[table] = key_violations(stored, [schemas.KEYS[name]])
     return SilverReport(
-        files=ingest_report(spark, found), counts=row_counts(bronze), violations=violations
+        files=ingest_report(spark, found), counts=observed_counts(spark, seen), violations=violations
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +16,7 @@ from hibiki import schemas
 def read_landed(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
     """One JSON array document per file, or one object per line.
 
-    A document is parsed by one task, so large tables should land as many files or as lines,
-    which split.
+    A document is parsed by one task; ``json_arrays.read_json_array`` reads large ones by many.
     """
     return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
@@ -60,3 +59,15 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
         for name, df in tables.items()
     ]
     return reduce(DataFrame.unionByName, counts)
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The rows, and what tells their number once they have been written: no scan of its own."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("n_rows")), seen
+
+
+def observed_counts(spark: SparkSession, seen: dict[str, Observation]) -> DataFrame:
+    """(table, n_rows) of every table that was written with its rows counted."""
+    rows = [(name, one.get["n_rows"]) for name, one in seen.items()]
+    return spark.createDataFrame(rows, "table string, n_rows long")
