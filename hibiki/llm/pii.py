@@ -32,8 +32,6 @@ GENERALISE = 0.9
 REMOVE = 0.97
 #: Texts that each pair's distinct texts are discounted by.
 DOUBT = 0.25
-#: Terms that may be broadcast to the corpus scan; with more, the words are shuffled to them.
-BROADCAST_TERMS = 200_000
 
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 # A match begins at a run's first character, or where the last match ended.
@@ -146,35 +144,38 @@ def _disclosing(
         F.bit_xor(F.xxhash64(F.lit("h"), "_hash")).alias("h"),
     )
     known = write_out(known.filter(F.col("n_e") < rows), "entities")
+    holders = write_out(
+        held.join(known, "entity").select("_hash", "copies", "g", "h", "n_e").distinct(), "holders"
+    )
     words = hits.select("_hash", F.array_distinct(_terms(F.col("_text"))).alias("terms"))
-    spoken = (
-        held.join(known, "entity").select("_hash", "copies", "g", "h", "n_e").distinct()
-        .join(words, "_hash").select("_hash", "copies", "g", "h", "n_e", F.explode("terms").alias("term"))
+    most = holders.groupBy("_hash").agg(F.max("n_e").alias("n_e"))
+    terms = (
+        most.join(words, "_hash").select("n_e", F.explode("terms").alias("term"))
+        .groupBy("term").agg(F.max("n_e").alias("most"))
     )
-    spoken = write_out(spoken, "spoken")
-    terms = write_out(spoken.groupBy("term").agg(F.max("n_e").alias("most")), "terms")
-    asked = terms.count()
-    # Without entities there is nothing to ask the corpus.
-    heard = (docs if asked else docs.limit(0)).select(
+    terms = write_out(terms, "terms")
+    # Without entities there is nothing to ask the corpus. Counts are summed in each task before
+    # the shuffle, in the same way at every size.
+    heard = (docs.limit(0) if terms.isEmpty() else docs).select(
         F.explode(F.array_distinct(_terms(F.coalesce(F.col(text), F.lit(""))))).alias("term")
     )
-    if asked <= BROADCAST_TERMS:
-        heard = heard.join(F.broadcast(terms), "term", "left_semi")
-    frequency = heard.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    frequency = write_out(frequency.join(terms, "term"), "frequency")
-    # Terms too frequent to disclose any entity they meet: few, but most of what is spoken.
+    frequency = heard.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term")
+    # Terms too frequent to disclose any entity they meet are few, but most of what is spoken.
     bound = 1 + F.log2(F.least("most", "n_t") / F.col("n_t")) / F.log2(F.lit(float(rows)))
-    common = frequency.filter(bound < generalise - 1e-9).select("term")
-    if common.count() <= BROADCAST_TERMS:
-        common = F.broadcast(common)
-    spoken = spoken.join(common, "term", "left_anti")
+    frequency = frequency.filter(bound >= generalise - 1e-9).select("term", "n_t")
+    frequency = write_out(frequency, "frequency")
+    spoken = (
+        words.select("_hash", F.explode("terms").alias("term")).join(frequency, "term", "left_semi")
+        .join(holders, "_hash").select("_hash", "copies", "g", "h", "n_e", "term")
+    )
+    spoken = write_out(spoken, "spoken")
     pairs = spoken.groupBy("g", "h", "term").agg(
         F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("texts"), F.any_value("n_e").alias("n_e")
     )
     certain = F.col("texts") / (F.col("texts") + doubt)
     share = F.log2(F.col("n_et") / F.col("n_t") * certain) / F.log2(F.lit(float(rows)) / F.col("n_e"))
     told = (
-        pairs.join(frequency.select("term", "n_t"), "term")
+        pairs.join(frequency, "term")
         .withColumn("share", 1 + share).filter(F.col("share") >= generalise)
         .select("g", "h", "term", F.when(F.col("share") >= remove, len(KINDS) + 1)
                 .otherwise(len(KINDS)).alias("kind"))
@@ -245,16 +246,18 @@ def written(spans: Column) -> Column:
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
     """Per row: its key, ``base`` spans and ``spans``, all of them, in order."""
-    spans = add_spans(docs.select(key, text), text, **thresholds)
+    spans = add_spans(docs.select(F.col(key).alias("_key"), F.col(text).alias("_own")), "_own", **thresholds)
     every = F.array_sort(F.concat("_base", "_terms"))
-    return spans.select(key, F.col("_base").alias("base"), every.alias("spans"))
+    return spans.select(F.col("_key").alias(key), F.col("_base").alias("base"), every.alias("spans"))
 
 
 def sanitise(docs: DataFrame, text: str = "text", **thresholds) -> DataFrame:
     """The rows with base spans and disclosing terms replaced by their kind, or removed."""
-    marked = add_spans(docs, text, **thresholds)
+    # Columns are carried in a struct, so that none can clash.
+    carried = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(text).alias("_own"))
+    marked = add_spans(carried, "_own", **thresholds)
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, "term")], F.lit(""))
-    own = F.col(text)
+    own = F.col("_own")
 
     def step(done: Column, s: Column) -> Column:
         fresh = s["start"] >= done["at"]
@@ -268,4 +271,5 @@ def sanitise(docs: DataFrame, text: str = "text", **thresholds) -> DataFrame:
     rest = lambda done: F.concat(done["out"], F.substring(own, done["at"] + 1, F.length(own)))
     every = F.array_sort(F.concat("_base", "_terms"))
     clean = F.when(F.size(every) > 0, F.aggregate(every, start, step, rest)).otherwise(own)
-    return marked.withColumn(text, clean).select(*docs.columns)
+    kept = [clean.alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns]
+    return marked.select(*kept)
