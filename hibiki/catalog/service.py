@@ -155,7 +155,7 @@ def tool_dispatch(spark, d):
 
 
 def tool_stats(spark, d):
-    return T.tool_stats(T.run_tools(V.calls(spark, d), tool_data(spark, d)))
+    return T.tool_stats(T.tool_outcomes(V.calls(spark, d), V.customers(spark, d), V.vehicles(spark, d)))
 
 
 def context(spark, d):

@@ -39,6 +39,7 @@ CHAMPIONS = 32
 UNITS_PER_BUCKET = 200_000
 #: Segments from which on a sync merges them.
 MAX_SEGMENTS = 8
+# A bucket's units are few enough to be hashed, so that its postings need no sorting to meet them.
 #: Bytes of the vocabulary that are sent to every executor; beyond, it is joined with a shuffle.
 BROADCAST_BYTES = 200 << 20
 
@@ -235,7 +236,7 @@ def merge_segments(spark: SparkSession, path: str) -> None:
 
 def _frequencies(postings: DataFrame, units: DataFrame) -> DataFrame:
     """(token, df, n_units): postings meet the number of copies in their bucket; sums leave it."""
-    return postings.select("unit", "token").join(units, "unit").groupBy("token").agg(
+    return postings.select("unit", "token").join(units.hint("shuffle_hash"), "unit").groupBy("token").agg(
         F.sum("n_copies").alias("df"), F.count(F.lit(1)).alias("n_units")
     )
 
@@ -244,13 +245,13 @@ def _norms(postings: DataFrame, units: DataFrame, rarity: DataFrame, attributes:
     """(unit, doc, norm, attributes), summed inside the buckets."""
     raw = F.col("tf") * F.col("idf")
     lengths = postings.join(rarity, "token").groupBy("unit").agg(F.sqrt(F.sum(raw * raw)).alias("norm"))
-    return units.join(lengths, "unit").select("unit", "doc", "norm", *attributes)
+    return lengths.join(units.hint("shuffle_hash"), "unit").select("unit", "doc", "norm", *attributes)
 
 
 def _weights(postings: DataFrame, units: DataFrame, vocab: DataFrame, attributes: Sequence[str]) -> DataFrame:
     rarity = _rarity(vocab)
     w = F.col("tf") * F.col("idf") / F.col("norm")
-    return postings.join(units, "unit").join(rarity, "token").select(
+    return postings.join(units.hint("shuffle_hash"), "unit").join(rarity, "token").select(
         "unit", "doc", "token", "tf", w.alias("w"), *attributes
     )
 

@@ -21,6 +21,7 @@ from hibiki.operators.evaluation import (
     summary_lines,
 )
 from hibiki.operators.text_index import TextIndex
+from hibiki.session import write_out
 
 _TEMPLATE = (
     "Give one score and say why.\n"
@@ -103,6 +104,8 @@ def evaluate(
     table = (
         metrics.score(rows).withColumn("exact_match/score", scaled(same)).join(measures, key)
     )
+    # Measured once, however many of the outputs are used.
+    table = write_out(table, "scored")
     long = long_scores(table, [key, "question"])
     summary = metric_summary(long)
     return Evaluation(
