@@ -17,6 +17,7 @@ encodes each distinct word once per worker (within a bounded cache).
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +39,19 @@ PART_KEYS = 1_000_000
 _SLACK = 1.5
 
 
+def _letters(word: bytes) -> bool:
+    """Whether a word is all letters, and is so in lower case."""
+    return word.isalpha() or word.decode().lower().isalpha()
+
+
 class WordEncoder:
     """Encodes texts word by word with a tokenizer that drops white space and marks word ends."""
 
     def __init__(self, path: str, end_mark: str = "</w>"):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added) or b"(?!)", re.IGNORECASE)
+        self.heads = {t.encode()[:1].lower() for t in added} | {t.encode()[:1].upper() for t in added}
         vocabulary = self.tokenizer.get_vocab()
         size = max(vocabulary.values()) + 1
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -53,20 +61,34 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed."""
-        # Only ASCII letters are lowered here; the tokenizer sees to the others.
-        split = [(t or "").encode().lower().split() for t in texts]
+        split = [self._words((t or "").encode()) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        self._learn({w for words in split for w in words if w not in self.known})
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        known, out = self.known, []
+        for words in split:
+            try:
+                out.append(b"".join(map(known.__getitem__, words)))
+            except KeyError:
+                out.append(None)
+        new = [i for i, ids in enumerate(out) if ids is None]
+        self._learn({w for i in new for w in split[i] if w not in known})
+        for i in new:
+            out[i] = b"".join(map(known.__getitem__, split[i]))
+        return out
+
+    def _words(self, text: bytes) -> list[bytes]:
+        """Only ASCII letters are lowered here, the tokenizer sees to the others; texts that may hold
+        added tokens keep theirs, as these are found as they are written."""
+        may = any(head in text for head in self.heads) and self.added.search(text)
+        return (text if may else text.lower()).split()
 
     def _learn(self, words: set[bytes]) -> None:
-        # A letter run and the punctuation behind it are separate tokens.
-        closed = {w for w in words if len(w) > 1 and w[-1:] in b".," and w[:-1].decode().isalpha()}
+        # A letter run and the punctuation behind it are separate tokens, if the letters stay letters
+        # when lowered: some end in marks then, which go with the punctuation.
+        closed = {w for w in words if len(w) > 1 and w[-1:] in b".," and _letters(w[:-1])}
         plain = (words - closed) | {w[:-1] for w in closed} | {w[-1:] for w in closed}
         plain = sorted(w for w in plain if w not in self.known)
-        runs = [w for w in plain if w.decode().isalpha()]
+        runs = [w for w in plain if _letters(w)]
         for i in range(0, len(runs), _JOINED):
             self._learn_runs(runs[i:i + _JOINED])
         for w in plain:
