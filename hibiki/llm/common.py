@@ -136,17 +136,23 @@ def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int
     return names
 
 
-def run_names(names: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """64-bit names of non-empty spans of a sequence: of its two longest parts of 2 ** k elements,
-    which cover it, and of its length. Parts are named level by level from their halves."""
-    lengths = ends - starts
-    out = np.zeros(len(starts), np.uint64)
-    level, size = names.astype(np.uint64), 1
-    while True:
-        own = np.flatnonzero((lengths >= size) & (lengths < 2 * size))
-        first, last = level[starts[own]], level[ends[own] - size]
-        out[own] = mix(mix(first * _ODD[lane] + lengths[own].astype(np.uint64)) ^ last)
-        if not len(lengths) or size * 2 > lengths.max():
-            return out
-        level = mix(mix(level[:-size] * _ODD[lane] + np.uint64(size)) ^ level[size:])
-        size *= 2
+class Runs:
+    """Names of spans of a sequence: of a span's two longest parts of 2 ** k elements, which cover it,
+    and of its length. Parts are named level by level from their halves, up to the longest span."""
+
+    def __init__(self, names: np.ndarray, longest: int, lane: int = 0):
+        self.lane, self.levels = lane, [names.astype(np.uint64)]
+        while 2 << len(self.levels) - 1 <= min(longest, len(names)):
+            half, size = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(mix(mix(half[:-size] * _ODD[lane] + np.uint64(size)) ^ half[size:]))
+
+    def names(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit names of non-empty spans."""
+        lengths = ends - starts
+        out = np.zeros(len(starts), np.uint64)
+        for k, level in enumerate(self.levels):
+            own = np.flatnonzero((lengths >= 1 << k) & (lengths < 2 << k))
+            if len(own):
+                first, last = level[starts[own]], level[ends[own] - (1 << k)]
+                out[own] = mix(mix(first * _ODD[self.lane] + lengths[own].astype(np.uint64)) ^ last)
+        return out

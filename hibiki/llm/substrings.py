@@ -9,7 +9,7 @@ The anchor's symbol, extended to the margins, names a longer run of words that e
 the anchor holds; windows can be equal only where these high-level symbols are shared.
 
 Spark counts the high-level symbols, keeps the shared ones, and compares per symbol the whole
-stretch of words that its windows cover. Stretches equal to an earlier one are repeats as a whole.
+stretch of words that its windows cover, by two independent names of 64 bits each. Stretches equal to an earlier one are repeats as a whole.
 For the first occurrence of each stretch whose symbol has other stretches, too, which is the edge
 of a repeat, the windows themselves are compared.
 
@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hibiki.llm.common import mix, prepare, span_hashes, text_bytes, word_spans
+from hibiki.llm.common import Runs, mix, prepare, text_bytes, word_names, word_spans
 from hibiki.session import write_out
 
 WINDOW = 20
 REACH = 4  # words: two for runs of two, two more for pairs of such
 SPAN = 4  # words in a symbol, at most
+_WINDOWS = 1 << 16  # windows named at once
 #: Documents whose keys may be broadcast, so that only their texts are shuffled.
 BROADCAST_DOCS = 500_000
 
@@ -97,78 +98,94 @@ def anchors(words: np.ndarray, first: np.ndarray, window: int = WINDOW):
     return begin[at], begin[upto], starts[best[at]], ends[best[at]]
 
 
-def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _named_words(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Both names of all words, and the first word of each text."""
     data, offsets = text_bytes(column)
     starts, ends, first = word_spans(data, offsets)
-    return span_hashes(data, starts, ends), first
+    return [word_names(data, starts, ends, lane) for lane in (0, 1)], first
+
+
+def _signed(names: np.ndarray) -> pa.Array:
+    return pa.array(names.view(np.int64))
 
 
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(symbol, stretch, d, h, lo, n): high-level symbol, stretch of its windows, and where they begin."""
+    """(symbol, stretch, again, d, h, lo, n): high-level symbol, both names of the stretch of its
+    windows, and where they begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, first = _word_hashes(batch.column(2))
-            lo, hi, start, end = anchors(words, first, window)
-            symbol = span_hashes(words, start - REACH, end + REACH)
-            own = span_hashes(words, lo, hi + window)
-            own = mix(own + (start - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - lo).astype(np.uint64))
+            words, first = _named_words(batch.column(2))
+            lo, hi, start, end = anchors(words[0], first, window)
+            longest = int((hi - lo).max(initial=0)) + window + SPAN + 2 * REACH
+            one, two = (Runs(w, longest, lane) for lane, w in enumerate(words))
+            symbol = one.names(start - REACH, end + REACH)
+            stretch, again = (runs.names(lo, hi + window) for runs in (one, two))
+            stretch = mix(stretch + (start - lo).astype(np.uint64))
             text = np.searchsorted(first, lo, "right") - 1
             for i in range(0, len(lo), 1 << 16):
                 part = slice(i, i + (1 << 16))
                 rows = pa.array(text[part])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(symbol[part].view(np.int64)), pa.array(own[part].view(np.int64)),
+                    [_signed(symbol[part]), _signed(stretch[part]), _signed(again[part]),
                      batch.column(0).take(rows), batch.column(1).take(rows),
                      pa.array((lo - first[text])[part].astype(np.int32)),
                      pa.array((hi - lo + 1)[part].astype(np.int32))],
-                    ["symbol", "stretch", "d", "h", "lo", "n"],
+                    ["symbol", "stretch", "again", "d", "h", "lo", "n"],
                 )
 
     return docs.select("d", "h", "text").mapInArrow(
-        run, "symbol long, stretch long, d long, h long, lo int, n int"
+        run, "symbol long, stretch long, again long, d long, h long, lo int, n int"
     )
 
 
 def _window_rows(asked: DataFrame, window: int) -> DataFrame:
-    """(symbol, w, d, h, lo): hashes of the windows asked for. ``asked``: d, h, text, parts."""
+    """(symbol, w, again, d, h, lo): both names of the windows asked for. ``asked``: d, h, text, parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, first = _word_hashes(batch.column(2))
+            words, first = _named_words(batch.column(2))
             parts = batch.column(3)
             counts = np.diff(parts.offsets.to_numpy())
             fields = parts.flatten()
             lo, n = (fields.field(k).to_numpy().astype(np.int64) for k in ("lo", "n"))
             symbol = fields.field("symbol").to_numpy()
-            text = np.repeat(np.repeat(np.arange(batch.num_rows), counts), n)
-            begin = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = begin + first[text]
-            found = span_hashes(words, at, at + window)
-            rows = pa.array(text)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(symbol, n)), pa.array(found.view(np.int64)),
-                 batch.column(0).take(rows), batch.column(1).take(rows), pa.array(begin.astype(np.int32))],
-                ["symbol", "w", "d", "h", "lo"],
-            )
+            runs = [Runs(w, window, lane) for lane, w in enumerate(words)]
+            text = np.repeat(np.arange(batch.num_rows), counts)
+            upto = np.cumsum(n)
+            # Some windows at a time: a batch may ask for all windows of very long texts.
+            for a in range(0, int(n.sum()), _WINDOWS):
+                each = np.arange(a, min(a + _WINDOWS, int(upto[-1])))
+                part = np.searchsorted(upto, each, "right")
+                begin = lo[part] + each - (upto[part] - n[part])
+                at = begin + first[text[part]]
+                found, again = (r.names(at, at + window) for r in runs)
+                rows = pa.array(text[part])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(symbol[part]), _signed(found), _signed(again), batch.column(0).take(rows),
+                     batch.column(1).take(rows), pa.array(begin.astype(np.int32))],
+                    ["symbol", "w", "again", "d", "h", "lo"],
+                )
 
     return asked.select("d", "h", "text", "parts").mapInArrow(
-        run, "symbol long, w long, d long, h long, lo int"
+        run, "symbol long, w long, again long, d long, h long, lo int"
     )
 
 
 def _later(rows: DataFrame, *names: str) -> DataFrame:
     """Rows that are not the first with their names."""
-    first = rows.groupBy(*names).agg(F.min(F.struct("d", "lo")).alias("first"))
+    first = rows.groupBy(*names).agg(F.min(F.struct("d", "lo")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = write_out(first.filter("n > 1").drop("n"), "first-windows")
     return rows.join(first, list(names)).filter(F.struct("d", "lo") > F.col("first"))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(d, h, lo, n): starts lo, lo + 1, ... of n windows that occur earlier. ``docs``: d, h, text."""
     found = _anchor_rows(docs, window)
-    shared = found.groupBy("symbol").count().filter("count > 1").select("symbol")
+    # Written, so that a hot symbol meets it in a join of two shuffled sides, which can be split.
+    shared = write_out(found.groupBy("symbol").count().filter("count > 1").select("symbol"), "shared")
     found = write_out(found.join(shared, "symbol", "left_semi"), "shared-anchors")
-    names = ["symbol", "stretch"]
+    names = ["symbol", "stretch", "again"]
     firsts = write_out(
         found.groupBy(*names).agg(F.min(F.struct("d", "lo", "h", "n")).alias("first"))
         .select(*names, "first.*"), "stretches",
@@ -176,12 +193,12 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     same = found.alias("f").join(
         firsts.select(*names, F.struct("d", "lo").alias("first")), names
     ).filter(F.struct("f.d", "f.lo") > F.col("first")).select("d", "h", "lo", "n")
-    several = firsts.groupBy("symbol").count().filter("count > 1").select("symbol")
+    several = write_out(firsts.groupBy("symbol").count().filter("count > 1").select("symbol"), "several")
     edges = write_out(firsts.join(several, "symbol", "left_semi"), "edges")
     parts = edges.groupBy("d", "h").agg(F.collect_list(F.struct("symbol", "lo", "n")).alias("parts"))
     texts = _only(docs, edges.select("d", "h").distinct()).dropDuplicates(["d", "h"])
     windows = write_out(_window_rows(texts.join(parts, ["d", "h"]), window), "edge-windows")
-    late = _later(windows, "symbol", "w").select("d", "h", "lo", F.lit(1).alias("n"))
+    late = _later(windows, "symbol", "w", "again").select("d", "h", "lo", F.lit(1).alias("n"))
     return same.unionByName(late)
 
 
@@ -222,14 +239,16 @@ def remove_repeats(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, removed, kept = [], [], []
-            for whole, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found = whole.encode().split()
-                left = found
-                if parts:
+            parts = batch.column(2)
+            spans = parts.offsets.to_numpy().tolist()
+            lo, n = (parts.values.field(k).to_numpy().astype(np.int64) for k in ("lo", "n"))
+            for i, whole in enumerate(batch.column(1)):
+                found = whole.as_py().encode().split()
+                left, own = found, slice(spans[i], spans[i + 1])
+                if spans[i] < spans[i + 1]:
                     gone = np.zeros(len(found) + 1, np.int64)
-                    for p in parts:
-                        gone[p["lo"]] += 1
-                        gone[p["lo"] + p["n"] + window - 1] -= 1
+                    np.add.at(gone, lo[own], 1)
+                    np.add.at(gone, lo[own] + n[own] + window - 1, -1)
                     left = [w for w, g in zip(found, np.cumsum(gone).tolist()) if not g]
                 words.append(len(found))
                 removed.append(len(found) - len(left))
