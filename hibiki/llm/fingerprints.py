@@ -5,13 +5,15 @@ deterministic coin tossing (each symbol is replaced by the place and value of th
 which it differs from its predecessor, four times) leaves six labels; symbols whose label is a
 local maximum begin a phrase; a phrase is named by a hash of its symbols. Where a phrase begins
 depends on a few symbols around it only, so equal substrings get equal names inside, wherever they
-lie. The fingerprint keeps the smallest hashes of the distinct phrase names of one level;
-likeness estimates the Jaccard similarity of two sets of names from them (exactly, if both sets are
+lie; phrases of one level are the symbols of the next. The fingerprint keeps the smallest hashes of
+the distinct phrase names of several levels; likeness estimates the Jaccard similarity of two sets of names from them (exactly, if both sets are
 small enough to be kept whole).
 
 Rows: null texts are empty ones, whose fingerprint is empty (likeness 1 to another empty one, 0 to
 any other). Rows follow each other by key, nulls first, then by a hash of the text; repeated rows
-are neighbours. Extra columns are left out. Empty tables give none.
+are neighbours. A key that many rows share, null too, is cut into ranges of its texts' hashes; rows
+with equal key and text stay in one range, where they pass one after the other. Extra columns are
+left out, whatever their names. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,9 @@ from hibiki.llm.common import mix, prepare
 from hibiki.session import write_out
 
 LEVEL = 2  # phrases of about nine characters
+TOP = 4  # phrases of about a hundred
 KEPT = 64
+_LEAST = -(1 << 63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Characters parsed together; longer texts are parsed alone.
 _TOGETHER = 1 << 19
@@ -78,8 +81,10 @@ def _phrases(names: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(sums + lengths.astype(np.uint64)), np.searchsorted(starts, begins)
 
 
-def fingerprints(texts: Sequence[str], level: int = LEVEL, kept: int = KEPT) -> list[np.ndarray]:
-    """The smallest distinct hashes of phrase names of each text."""
+def fingerprints(
+    texts: Sequence[str], level: int = LEVEL, kept: int = KEPT, top: int = TOP
+) -> list[np.ndarray]:
+    """The smallest distinct hashes of phrase names of each text, from ``level`` up to ``top``."""
     out = [np.zeros(0, np.uint32)] * len(texts)
     full = [i for i, t in enumerate(texts) if t]
     at = 0
@@ -91,10 +96,20 @@ def fingerprints(texts: Sequence[str], level: int = LEVEL, kept: int = KEPT) ->
         part = [texts[i] for i in full[at:to]]
         names = np.frombuffer("".join(part).encode("utf-32-le"), "<u4").astype(np.uint64)
         begins = np.concatenate([[0], np.cumsum([len(t) for t in part])])
-        for _ in range(level):
+        found = []
+        for height in range(1, max(top, level) + 1):
             names, begins = _phrases(names, begins)
-        short = (names >> np.uint64(32)).astype(np.uint32)
-        for i, a, b in zip(full[at:to], begins, begins[1:]):
+            if height >= level:
+                # A text that is one phrase has nothing to tell further up.
+                own = np.diff(begins) > (0 if height == level else 1)
+                texts_of = np.repeat(np.arange(len(part)), np.diff(begins))
+                use = own[texts_of]
+                found.append((texts_of[use], (names[use] >> np.uint64(32)).astype(np.uint32)))
+        of, short = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((short, of))
+        of, short = of[order], short[order]
+        bounds = np.searchsorted(of, np.arange(len(part) + 1))
+        for i, a, b in zip(full[at:to], bounds, bounds[1:]):
             out[i] = np.unique(short[a:b])[:kept]
         at = to
     return out
@@ -113,39 +128,63 @@ def written(fingerprint: np.ndarray) -> str:
     return fingerprint.astype(">u4").tobytes().hex()
 
 
+def _starts(docs: DataFrame, key: str, text: str, ranges: int) -> list[tuple]:
+    """Where ranges of rows begin, in order: (key, smallest hash of a text, whether the hash counts).
+
+    Ranges follow the keys. A key with more rows than a range should have (null is one, too) is cut
+    further, by the hashes of its texts; only such rows' texts are read for that.
+    """
+    limit = max(1, docs.count() // ranges)
+    keys = docs.select(F.col(key).alias("key")).repartitionByRange(ranges, "key")
+    per_key = keys.withColumn("range", F.spark_partition_id()).groupBy("key").agg(
+        F.min("range").alias("range"), F.count(F.lit(1)).alias("n")
+    )
+    # Fewer keys than ranges can be that frequent.
+    found = write_out(
+        per_key.groupBy("range").agg(
+            F.min(F.struct("key")).alias("least"),
+            F.collect_list(F.when(F.col("n") > limit, F.struct("key", "n"))).alias("hot"),
+        ), "range-starts",
+    ).collect()
+    hot = {row.key: -(-row.n // limit) for r in found for row in r.hot}
+    starts = [(r.least.key, _LEAST, False) for r in found if r.least.key not in hot]
+    if hot:
+        slices = F.coalesce(*[F.when(F.col(key).eqNullSafe(F.lit(k)), n) for k, n in hot.items()])
+        rows = docs.select(
+            F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("order"),
+            slices.alias("slices"),
+        ).filter("slices IS NOT NULL")
+        nth = F.floor((F.col("order").cast("double") / 2.0 ** 64 + 0.5) * F.col("slices"))
+        least = write_out(rows.groupBy("key", nth.alias("nth")).agg(F.min("order").alias("order")), "hot-starts")
+        starts += [(r.key, r.order, True) for r in least.collect()]
+    return sorted(starts, key=lambda s: (s[0] is not None, s[0] if s[0] is not None else 0, s[1]))
+
+
 def in_order(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text, tail): rows in partitions by ranges of the key, sorted.
+    """(key, text, tail): rows in partitions by ranges of the key and the text's hash, sorted.
 
     At the end of each partition follows, marked ``tail``, the row with which the next one begins
     (after the last, the first of all), so that every row meets its successor in one pass.
     """
-    spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = docs.select(F.col(key).alias("key")).filter("key IS NOT NULL")
-    firsts = write_out(
-        keys.repartitionByRange(ranges, "key").groupBy(F.spark_partition_id().alias("range"))
-        .agg(F.min("key").alias("key")), "range-starts",
+    starts = _starts(docs, key, text, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("order", F.xxhash64("text"))
+    if not starts:
+        return rows.select("key", "text", F.lit(False).alias("tail"))
+    parts, kind = len(starts), docs.schema[key].dataType
+    known = F.array(*[
+        F.struct(F.lit(k).cast(kind).alias("key"), F.lit(o).cast("long").alias("order"), F.lit(h).alias("exact"))
+        for k, o, h in starts
+    ])
+    upto = F.filter(known, lambda s: F.struct(s["key"], s["order"]) <= F.struct(F.col("key"), F.col("order")))
+    rows = rows.withColumn("part", F.size(upto) - 1).withColumn("start", F.get(known, F.col("part")))
+    first = F.col("start.key").eqNullSafe(F.col("key")) & (
+        ~F.col("start.exact") | (F.col("start.order") == F.col("order"))
     )
-    bounds = sorted(row.key for row in firsts.select("key").collect())  # one per partition
-    nulls = int(not docs.filter(F.col(key).isNull()).isEmpty())
-    parts = max(1, len(bounds) + nulls)
-    starts = np.array(bounds) if bounds else np.zeros(0)
-
-    @F.pandas_udf(T.IntegerType())
-    def part_of(own: pd.Series) -> pd.Series:
-        found = np.zeros(len(own), np.int32)
-        there = own.notna().to_numpy()
-        found[there] = np.searchsorted(starts, own[there].to_numpy(starts.dtype), "right") - 1 + nulls
-        return pd.Series(found)
-
-    rows = docs.select(
-        F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    ).withColumn("part", part_of("key"))
-    first = F.col("key").isin(bounds) | F.col("key").isNull() if bounds else F.lit(True)
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("tail"))
     before = F.struct(F.pmod(F.col("part") - 1, F.lit(parts)).alias("part"), F.lit(True).alias("tail"))
     places = F.when(first, F.array(own, before)).otherwise(F.array(own))
-    placed = rows.select("key", "text", F.xxhash64("text").alias("order"), F.explode(places).alias("to"))
+    placed = rows.select("key", "text", "order", F.explode(places).alias("to"))
     placed = placed.select("key", "text", "order", F.col("to.part").alias("part"), F.col("to.tail").alias("tail"))
     return placed.repartitionById(parts, "part").sortWithinPartitions(
         "part", "tail", F.col("key").asc_nulls_first(), "order"

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -385,22 +386,87 @@ def test_archives(spark):
 # -- fingerprints -----------------------------------------------------------------------------------
 
 
-def test_neighbours(odd, empty):
-    rows = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
-    found = fingerprints.compare_neighbours(odd)
-    got = {r.doc_id: r for r in found.collect() if r.doc_id is not None}
-    assert found.count() == len(rows)
-    texts = [r.text or "" for r in rows]
-    for r, own, after in zip(rows[2:-1], texts[2:], texts[3:]):
-        q = len(own) // 4
-        if r.doc_id != 9:  # repeated
-            edited = own[:len(own) - q] + after[:q]
-            assert got[r.doc_id].n_chars == len(own) and got[r.doc_id].edited_sha256 == sha(edited.encode())
-            assert got[r.doc_id].fingerprint == fingerprints.written(fingerprints.fingerprints([own])[0])
-    assert got[8].fingerprint == got[15].fingerprint
+def slow_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2 ** 64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2 ** 64
+    return x ^ x >> 31
+
+
+def slow_phrases(symbols):
+    """One level of the parse, symbol by symbol."""
+    step = 0x9E3779B97F4A7C15
+    runs = [(s, len(list(g))) for s, g in itertools.groupby(symbols)]
+    names = [slow_mix((s + step * n) % 2 ** 64) for s, n in runs]
+    labels = names
+    for _ in range(4):
+        tossed = []
+        for i, s in enumerate(labels):
+            place = 0
+            while i and (s ^ labels[i - 1]) >> place & 1 == 0:
+                place += 1
+            tossed.append(2 * place + (s >> place & 1))
+        labels = tossed
+    last = len(names) - 1
+    begins = [i for i in range(last + 1) if not i or i < last and labels[i - 1] < labels[i] > labels[i + 1]]
+    phrases = [names[a:b] for a, b in zip(begins, [*begins[1:], last + 1])]
+    return [
+        slow_mix((sum(slow_mix((n + step * (i + 1)) % 2 ** 64) for i, n in enumerate(p)) + len(p)) % 2 ** 64)
+        for p in phrases
+    ]
+
+
+def slow_parse(text):
+    symbols, found = [ord(c) for c in text], set()
+    for height in range(1, fingerprints.TOP + 1):
+        symbols = slow_phrases(symbols) if symbols else []
+        if height == fingerprints.LEVEL or height > fingerprints.LEVEL and len(symbols) > 1:
+            found |= {s >> 32 for s in symbols}
+    return sorted(found)[:fingerprints.KEPT]
+
+
+def slow_likeness(a, b):
+    union = sorted(set(a) | set(b))[:fingerprints.KEPT]
+    return sum(x in a and x in b for x in union) / len(union) if union else 1.0
+
+
+def neighbours(rows):
+    """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of rows."""
+    def signed(t):
+        h = xxhash.xxh64_intdigest(t.encode(), seed=42)
+        return h - 2 ** 64 * (h >= 2 ** 63)
+
+    rows = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+    prints, out = {t: slow_parse(t) for _, t in rows}, []
+    written = lambda p: "".join(f"{x:08x}" for x in p)
+    for (k, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        q = len(t) // 4
+        edited = t[:len(t) - q] + after[:q]
+        own, other = prints[t], slow_parse(edited)
+        out.append((k, len(t), sha(edited.encode()), written(own), written(other),
+                    slow_likeness(own, other), slow_likeness(own, prints[after])))
+    return out
+
+
+@pytest.mark.parametrize("hot", [None, 7, 9 ** 18])
+def test_neighbours_equal_brute_force(spark, odd, empty, hot):
+    """Also where one key, null too, holds most rows, and rows are repeated."""
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    rows += [(hot, prose(rng.randrange(60))) for _ in range(60)] + [(hot, "again")] * 20
+    frame = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in rows],
+                                  "doc_id long, text string, part int, tail int, `order` int").repartition(3)
+    found = fingerprints.compare_neighbours(frame)
+    assert Counter(map(tuple, found.collect())) == Counter(neighbours(rows))
     assert fingerprints.compare_neighbours(empty).isEmpty()
 
 
+def test_a_hot_key_is_dealt_to_several_ranges(spark):
+    rows = [(None if i % 3 else i, prose(5) + str(i)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = fingerprints.in_order(frame, "doc_id", "text").filter("key IS NULL AND NOT tail")
+    sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 250
+
+
 def test_names_do_not_depend_on_the_place():
     inner = "".join(rng.choices("abcdef ghij", k=3000))
     for before in ("", "x", "yz" * 50):
