@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -11,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -237,6 +239,40 @@ def test_toxicity_learns_words_and_stems(spark, odd, empty):
     assert nothing is None and {r.score for r in toxicity.add_scores(odd, None).collect()} == {0.0}
 
 
+def test_scores_equal_plain_loops():
+    """The network's answer for whole texts, word by word and filter by filter."""
+    texts = [t or "" for t in ODD[:14]] + [prose(n) for n in (1, 2, 3, 50)]
+    numbers = np.random.default_rng(3)
+    found = [toxicity.features(pa.array([t])) for t in texts]
+    rows = {}
+    for k, name in enumerate(("words", "stems")):
+        known = np.unique(np.concatenate([f[k] for f in found]))[::2]  # some words are unknown
+        rows[name] = (known, numbers.normal(size=(len(known), toxicity.SIZE)).astype(np.float32))
+    total = toxicity.FILTERS * len(toxicity.WIDTHS)
+    filters = [numbers.normal(size=(w, toxicity.SIZE, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    model = toxicity.Model(rows, filters, numbers.normal(size=total), numbers.normal(size=total) / 20, 0.1)
+    known = {name: dict(zip(at.tolist(), values.tolist())) for name, (at, values) in rows.items()}
+    nothing = [0.0] * toxicity.SIZE
+
+    def slow(words, stems):
+        x = [[a + b for a, b in zip(known["words"].get(w, nothing), known["stems"].get(s, nothing))]
+             for w, s in zip(words.tolist(), stems.tolist())]
+        logit, nth = model.bias, 0
+        for f in filters:
+            for c in range(toxicity.FILTERS):
+                best = max(
+                    sum(x[p + o][i] * float(f[o, i, c])
+                        for o in range(len(f)) if p + o < len(x) for i in range(toxicity.SIZE))
+                    for p in range(len(x) + 1)
+                )
+                logit += max(best + model.shifts[nth], 0) * model.weights[nth]
+                nth += 1
+        return 1 / (1 + math.exp(-min(max(logit, -30), 30)))
+
+    together = toxicity._score_texts(model, [f[:2] for f in found], model.tables())
+    assert np.allclose(together, [slow(*f[:2]) for f in found], atol=1e-4)
+
+
 # -- token store -----------------------------------------------------------------------------------
 
 
