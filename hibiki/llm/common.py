@@ -113,16 +113,16 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 # -- names that sums cannot fool: every step scrambles, so equal names mean equal content ----------
 
-_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
-def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """64-bit names of spans of bytes, read eight bytes at a time; each lane names independently."""
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit names of spans of bytes, read eight bytes at a time."""
     padded = np.zeros((len(data) // 8 + 2) * 8, np.uint8)
     padded[:len(data)] = data
     words = padded.view("<u8")
-    names = mix((ends - starts).astype(np.uint64) + _ODD[lane])
+    names = mix((ends - starts).astype(np.uint64) + _ODD)
     left, at = np.arange(len(starts)), starts
     while len(left):
         place, shift = at >> 3, (at & 7).astype(np.uint64) * np.uint64(8)
@@ -130,7 +130,7 @@ def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int
         value |= np.where(shift > 0, words[place + 1] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
         size = ends[left] - at
         value &= _MASKS[np.minimum(size, 8)]
-        names[left] = mix((names[left] ^ mix(value + _ODD[lane])) * _ODD[lane])
+        names[left] = mix((names[left] ^ mix(value + _ODD)) * _ODD)
         more = size > 8
         left, at = left[more], at[more] + 8
     return names
@@ -140,11 +140,11 @@ class Runs:
     """Names of spans of a sequence: of a span's two longest parts of 2 ** k elements, which cover it,
     and of its length. Parts are named level by level from their halves, up to the longest span."""
 
-    def __init__(self, names: np.ndarray, longest: int, lane: int = 0):
-        self.lane, self.levels = lane, [names.astype(np.uint64)]
+    def __init__(self, names: np.ndarray, longest: int):
+        self.levels = [names.astype(np.uint64)]
         while 2 << len(self.levels) - 1 <= min(longest, len(names)):
             half, size = self.levels[-1], 1 << len(self.levels) - 1
-            self.levels.append(mix(mix(half[:-size] * _ODD[lane] + np.uint64(size)) ^ half[size:]))
+            self.levels.append(mix(mix(half[:-size] * _ODD + np.uint64(size)) ^ half[size:]))
 
     def names(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit names of non-empty spans."""
@@ -154,5 +154,5 @@ class Runs:
             own = np.flatnonzero((lengths >= 1 << k) & (lengths < 2 << k))
             if len(own):
                 first, last = level[starts[own]], level[ends[own] - (1 << k)]
-                out[own] = mix(mix(first * _ODD[self.lane] + lengths[own].astype(np.uint64)) ^ last)
+                out[own] = mix(mix(first * _ODD + lengths[own].astype(np.uint64)) ^ last)
         return out

@@ -8,10 +8,12 @@ least two whole ones. Each window picks one of them, its anchor: the best by a r
 The anchor's symbol, extended to the margins, names a longer run of words that every window around
 the anchor holds; windows can be equal only where these high-level symbols are shared.
 
-Spark counts the high-level symbols, keeps the shared ones, and compares per symbol the whole
-stretch of words that its windows cover, by two independent names of 64 bits each. Stretches equal to an earlier one are repeats as a whole.
-For the first occurrence of each stretch whose symbol has other stretches, too, which is the edge
-of a repeat, the windows themselves are compared.
+Spark counts the high-level symbols and keeps the shared ones, which only propose repeats. What is
+accepted is verified by the words themselves: by a SHA-256 digest (its first 128 bits) of the words
+of the whole stretch that a symbol's windows cover. Stretches equal to an earlier one are repeats
+as a whole. For the first occurrence of each stretch whose symbol has other stretches, too, which is
+the edge of a repeat, the windows themselves are compared in the same way. So two texts whose words
+got one name by chance never lose a word.
 
 Rows: null texts have no words. Earlier means a smaller key, or the same key and an earlier start;
 null keys are smaller than any. Repeated rows with equal key and text are one document: none is
@@ -35,7 +37,7 @@ from hibiki.session import write_out
 WINDOW = 20
 REACH = 4  # words: two for runs of two, two more for pairs of such
 SPAN = 4  # words in a symbol, at most
-_WINDOWS = 1 << 16  # windows named at once
+_WINDOWS = 1 << 16  # windows digested at once
 #: Documents whose keys may be broadcast, so that only their texts are shuffled.
 BROADCAST_DOCS = 500_000
 
@@ -98,59 +100,69 @@ def anchors(words: np.ndarray, first: np.ndarray, window: int = WINDOW):
     return begin[at], begin[upto], starts[best[at]], ends[best[at]]
 
 
-def _named_words(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    """Both names of all words, and the first word of each text."""
-    data, offsets = text_bytes(column)
-    starts, ends, first = word_spans(data, offsets)
-    return [word_names(data, starts, ends, lane) for lane in (0, 1)], first
+class Words:
+    """The words of some texts: their bytes, joined by single spaces, and the first word of each text."""
 
+    def __init__(self, column: pa.Array):
+        self.data, offsets = text_bytes(column)
+        self.starts, self.ends, self.first = word_spans(self.data, offsets)
+        lengths = self.ends - self.starts
+        #: Where each word begins in the joined bytes, and the end of all.
+        self.at = np.zeros(len(lengths) + 1, np.int64)
+        np.cumsum(lengths + 1, out=self.at[1:])
+        joined = np.full(self.at[-1], 32, np.uint8)
+        letters = (self.data != 32) & ((self.data < 9) | (self.data > 13))
+        # Each letter moves on by one space for every word before its own.
+        joined[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(lengths)), lengths)] = self.data[letters]
+        self.joined = memoryview(joined)
 
-def _signed(names: np.ndarray) -> pa.Array:
-    return pa.array(names.view(np.int64))
+    def names(self) -> np.ndarray:
+        return word_names(self.data, self.starts, self.ends)
+
+    def digests(self, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """128 bits of SHA-256 of the words of each non-empty span."""
+        spans = zip(self.at[starts].tolist(), (self.at[ends] - 1).tolist())
+        return pa.array([hashlib.sha256(self.joined[a:b]).digest()[:16] for a, b in spans], pa.binary())
 
 
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(symbol, stretch, again, d, h, lo, n): high-level symbol, both names of the stretch of its
+    """(symbol, words, d, h, lo, n): high-level symbol, digest of the words of the stretch of its
     windows, and where they begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, first = _named_words(batch.column(2))
-            lo, hi, start, end = anchors(words[0], first, window)
-            longest = int((hi - lo).max(initial=0)) + window + SPAN + 2 * REACH
-            one, two = (Runs(w, longest, lane) for lane, w in enumerate(words))
-            symbol = one.names(start - REACH, end + REACH)
-            stretch, again = (runs.names(lo, hi + window) for runs in (one, two))
-            stretch = mix(stretch + (start - lo).astype(np.uint64))
+            words = Words(batch.column(2))
+            names, first = words.names(), words.first
+            lo, hi, start, end = anchors(names, first, window)
+            symbol = Runs(names, SPAN + 2 * REACH).names(start - REACH, end + REACH).view(np.int64)
             text = np.searchsorted(first, lo, "right") - 1
             for i in range(0, len(lo), 1 << 16):
                 part = slice(i, i + (1 << 16))
                 rows = pa.array(text[part])
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(symbol[part]), _signed(stretch[part]), _signed(again[part]),
+                    [pa.array(symbol[part]), words.digests(lo[part], hi[part] + window),
                      batch.column(0).take(rows), batch.column(1).take(rows),
                      pa.array((lo - first[text])[part].astype(np.int32)),
                      pa.array((hi - lo + 1)[part].astype(np.int32))],
-                    ["symbol", "stretch", "again", "d", "h", "lo", "n"],
+                    ["symbol", "words", "d", "h", "lo", "n"],
                 )
 
     return docs.select("d", "h", "text").mapInArrow(
-        run, "symbol long, stretch long, again long, d long, h long, lo int, n int"
+        run, "symbol long, words binary, d long, h long, lo int, n int"
     )
 
 
 def _window_rows(asked: DataFrame, window: int) -> DataFrame:
-    """(symbol, w, again, d, h, lo): both names of the windows asked for. ``asked``: d, h, text, parts."""
+    """(symbol, words, d, h, lo): digests of the windows asked for. ``asked``: d, h, text, parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, first = _named_words(batch.column(2))
+            words = Words(batch.column(2))
             parts = batch.column(3)
             counts = np.diff(parts.offsets.to_numpy())
             fields = parts.flatten()
             lo, n = (fields.field(k).to_numpy().astype(np.int64) for k in ("lo", "n"))
             symbol = fields.field("symbol").to_numpy()
-            runs = [Runs(w, window, lane) for lane, w in enumerate(words)]
             text = np.repeat(np.arange(batch.num_rows), counts)
             upto = np.cumsum(n)
             # Some windows at a time: a batch may ask for all windows of very long texts.
@@ -158,22 +170,21 @@ def _window_rows(asked: DataFrame, window: int) -> DataFrame:
                 each = np.arange(a, min(a + _WINDOWS, int(upto[-1])))
                 part = np.searchsorted(upto, each, "right")
                 begin = lo[part] + each - (upto[part] - n[part])
-                at = begin + first[text[part]]
-                found, again = (r.names(at, at + window) for r in runs)
+                at = begin + words.first[text[part]]
                 rows = pa.array(text[part])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(symbol[part]), _signed(found), _signed(again), batch.column(0).take(rows),
+                    [pa.array(symbol[part]), words.digests(at, at + window), batch.column(0).take(rows),
                      batch.column(1).take(rows), pa.array(begin.astype(np.int32))],
-                    ["symbol", "w", "again", "d", "h", "lo"],
+                    ["symbol", "words", "d", "h", "lo"],
                 )
 
     return asked.select("d", "h", "text", "parts").mapInArrow(
-        run, "symbol long, w long, again long, d long, h long, lo int"
+        run, "symbol long, words binary, d long, h long, lo int"
     )
 
 
 def _later(rows: DataFrame, *names: str) -> DataFrame:
-    """Rows that are not the first with their names."""
+    """Rows that are not the first with their symbol and words."""
     first = rows.groupBy(*names).agg(F.min(F.struct("d", "lo")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = write_out(first.filter("n > 1").drop("n"), "first-windows")
     return rows.join(first, list(names)).filter(F.struct("d", "lo") > F.col("first"))
@@ -185,7 +196,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # Written, so that a hot symbol meets it in a join of two shuffled sides, which can be split.
     shared = write_out(found.groupBy("symbol").count().filter("count > 1").select("symbol"), "shared")
     found = write_out(found.join(shared, "symbol", "left_semi"), "shared-anchors")
-    names = ["symbol", "stretch", "again"]
+    names = ["symbol", "words"]
     firsts = write_out(
         found.groupBy(*names).agg(F.min(F.struct("d", "lo", "h", "n")).alias("first"))
         .select(*names, "first.*"), "stretches",
@@ -198,7 +209,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     parts = edges.groupBy("d", "h").agg(F.collect_list(F.struct("symbol", "lo", "n")).alias("parts"))
     texts = _only(docs, edges.select("d", "h").distinct()).dropDuplicates(["d", "h"])
     windows = write_out(_window_rows(texts.join(parts, ["d", "h"]), window), "edge-windows")
-    late = _later(windows, "symbol", "w", "again").select("d", "h", "lo", F.lit(1).alias("n"))
+    late = _later(windows, "symbol", "words").select("d", "h", "lo", F.lit(1).alias("n"))
     return same.unionByName(late)
 
 
