@@ -1,6 +1,8 @@
 """Exact top-k inner products by the threshold algorithm over sorted per-dimension lists.
 
-Vectors are dealt into blocks, queries into groups; every group meets every block in one task. For
+Vectors are dealt into blocks, queries into groups; every group meets every block in one task. Blocks
+and groups are as large as a task may hold (TILE_BYTES each), since every vector is sent once per
+group and every query once per block; below that there are as many as keep all tasks busy. For
 a block, the components of each dimension are sorted once. A query walks all lists at once from the
 end that its sign favours, scores the vectors it meets, and stops when the sum of what the lists
 offer at this depth is below its k-th best score: no vector further down can get in. Each task
@@ -23,8 +25,10 @@ from hibiki.llm.common import prepare
 from hibiki.operators.ranking import best_per_key
 from hibiki.session import write_out
 
-BLOCK = 1024
-GROUP = 1024
+#: Bytes of the vectors of a block and of the queries of a group, as doubles.
+TILE_BYTES = 32 << 20
+#: Rows that are not dealt any finer.
+LEAST_ROWS = 1024
 FIRST_DEPTH = 8
 
 
@@ -74,18 +78,22 @@ def whole_numbers(vector: Column, scale: int = 256) -> Column:
 
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding",
-    block: int = BLOCK, group: int = GROUP,
+    block: int | None = None, group: int | None = None,
 ) -> DataFrame:
     """query_id, rank, ``key`` and score of the k best vectors of every query.
 
-    Ties go to the smaller id. Vectors are arrays of whole numbers.
+    Ties go to the smaller id. Vectors are arrays of whole numbers. ``block`` and ``group``: rows of
+    a block and of a group; unset, as many as TILE_BYTES hold, or as the shuffle partitions ask for.
     """
     spark = prepare(vectors.sparkSession)
     all_rows = write_out(_usable(vectors, key, vector), "vectors")
     asked = write_out(_usable(queries, key, vector), "queries")
-    blocks, groups = -(-all_rows.count() // block), -(-asked.count() // group)
-    if not blocks or not groups:
+    (vectors_in, longest), (queries_in, _) = _extent(all_rows), _extent(asked)
+    if not vectors_in or not queries_in:
         return spark.createDataFrame([], f"query_id long, rank int, {key} long, score long")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = _parts(queries_in, longest, group, 1)
+    blocks = _parts(vectors_in, longest, block, -(-tasks // groups))
     to_block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     to_group = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
     stored = all_rows.select("id", "v", F.size("v").alias("d"), to_block.alias("block")).withColumn(
@@ -115,6 +123,19 @@ def top_k(
     return ranked.select("query_id", "rank", key, "score")
 
 
+def _extent(rows: DataFrame) -> tuple[int, int]:
+    """The number of rows, and the largest number of components."""
+    return tuple(rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first())
+
+
+def _parts(rows: int, components: int, size: int | None, wanted: int) -> int:
+    """Into how many parts so many rows are dealt: of ``size`` rows, or at least ``wanted``."""
+    if size is not None:
+        return -(-rows // size)
+    held = max(LEAST_ROWS, TILE_BYTES // (8 * max(components, 1)))
+    return max(-(-rows // held), min(wanted, -(-rows // LEAST_ROWS)))
+
+
 def _usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     return rows.dropna().dropDuplicates(["id", "v"])

@@ -565,6 +565,18 @@ def test_sums_cannot_fool_the_comparison(spark):
     assert {r.doc_id: r.n_removed for r in left}[2] == 0
 
 
+def test_words_are_what_is_compared():
+    texts = ["", "one  two\tthree", None, "\n four\u00e9 five", "six", " one two\x0bthree\n"]
+    words = substrings.Words(pa.array(texts, pa.string()))
+    own = [w for t in texts for w in (t or "").encode().split()]
+    spans = [(a, b) for a in range(len(own)) for b in range(a + 1, len(own) + 1)]
+    got = words.digests(np.array([a for a, _ in spans]), np.array([b for _, b in spans])).to_pylist()
+    assert got == [hashlib.sha256(b" ".join(own[a:b])).digest()[:16] for a, b in spans]
+    assert words.first.tolist() == [0, 0, 3, 3, 5, 6, 9]
+    nothing = substrings.Words(pa.array([None, " "], pa.string()))
+    assert len(nothing.names()) == 0 and len(nothing.digests(np.zeros(0, int), np.zeros(0, int))) == 0
+
+
 # -- mixing ----------------------------------------------------------------------------------------
 
 
@@ -605,7 +617,11 @@ def test_top_k(spark):
                             if k != q and len(x) == len(y))
             expected |= {(q, i + 1, k, -s) for i, (s, k) in enumerate(scored[:5])}
     assert {tuple(r) for r in found.collect()} == expected
+    assert {tuple(r) for r in threshold.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5).collect()} == expected
     assert threshold.top_k(rows.limit(0), rows.limit(0)).isEmpty()
+    # Parts are as many as the tasks asked for, none smaller than some rows nor larger than a tile.
+    assert threshold._parts(10_000, 64, None, 200) == 10 and threshold._parts(10 ** 6, 64, None, 4) == 16
+    assert threshold._parts(10 ** 9, 64, None, 200) == -(-10 ** 9 // (1 << 16)) and threshold._parts(5, 0, None, 9) == 1
     odd = spark.createDataFrame(
         [([1.0, -0.001],), ([float("nan"), 1.0],), ([None, 1.0],), (None,)], "v array<double>"
     ).select(threshold.whole_numbers(F.col("v")).alias("v"))
