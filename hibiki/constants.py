@@ -86,5 +86,9 @@ DEFER_WORDS = ["次回の", "定期点検時", "様子を見", "急ぎではあ
 URGENT_WORDS = ["危険", "すぐに", "直ちに", "緊急", "至急", "重大"]
 ACTION_WORDS = ["停止", "連絡", "予約", "走行を控え", "ロードサービス", "お持ち込み"]
 
+# --- Fixed values: how scores are printed -----------------------------------------------------
+SUMMARY_LINE = "  %-45s: %s %.2f/5.00"
+LOW_LINE = "  質問: %s... | スコア: %.1f"
+
 # --- Our own choices -----------------------------------------------------------------------
 WARRANTY_ENDING_MONTHS = 3

@@ -7,6 +7,7 @@ result when it is repeated.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,8 +43,8 @@ def sync_index_from_stream(
     """Insert or replace the passages that have arrived, then derive the index's stats once.
 
     Each batch is a generation of the index; the last one gets its stats also where an earlier run
-    failed before it could derive them. Readers keep the generation they opened. ``newest`` orders the versions of an id within a batch, newest first; without it an id may
-    come only once per batch.
+    failed before it could derive them. Readers keep the generation they opened. ``newest`` orders
+    the versions of an id within a batch, newest first; without it an id may come only once per batch.
     """
     spark = passages.sparkSession
 
@@ -89,8 +90,11 @@ def feedback_per_day(
     """Thumbs up and down per day: (day, up, down), however late a row arrives.
 
     Each batch writes its own counts per day under its number, so a repeated batch replaces
-    itself, and reading adds them up. No state is kept and no row is too late.
+    itself, and reading adds them up. No state is kept and no row is too late. Each checkpoint has
+    counts of its own: a job that starts over with a new one, or with an emptied one, reads all its
+    input again and counts from nothing, whatever an earlier one left in ``out``.
     """
+    own = f"{out}/job-{hashlib.md5(checkpoint.encode()).hexdigest()}"
     marked = feedback.select(
         F.date_format(time, "yyyy-MM-dd").alias("day"), is_up.alias("up"), is_down.alias("down")
     )
@@ -99,7 +103,13 @@ def feedback_per_day(
         counts = batch.groupBy("day").agg(
             F.count_if("up").alias("up"), F.count_if("down").alias("down")
         )
-        counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if batch_id == 0:
+            # The first batch of all: what lies there is from a checkpoint that is gone.
+            counts.withColumn("batch", F.lit(0)).write.mode("overwrite").option(
+                "partitionOverwriteMode", "static"
+            ).partitionBy("batch").parquet(own)
+        else:
+            counts.write.mode("overwrite").parquet(f"{own}/batch={batch_id}")
 
     query = (
         marked.writeStream.outputMode("append")
@@ -109,5 +119,5 @@ def feedback_per_day(
         .start()
     )
     query.awaitTermination()
-    lines = feedback.sparkSession.read.parquet(out)
+    lines = feedback.sparkSession.read.schema("day string, up long, down long").parquet(own)
     return lines.groupBy("day").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))

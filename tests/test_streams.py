@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 from pyspark.sql import functions as F
 
@@ -58,11 +59,11 @@ def test_feedback_adds_up_over_runs(spark, tmp_path):
     folder = str(tmp_path / "in")
     schema = "ts timestamp, thumb string"
 
-    def run():
+    def run(progress="progress"):
         stream = J.read_files(spark, f"{folder}/*", schema)
         got = J.feedback_per_day(
             stream, F.col("thumb") == "up", F.col("thumb") == "down",
-            str(tmp_path / "out"), str(tmp_path / "progress"),
+            str(tmp_path / "out"), str(tmp_path / progress),
         )
         return rows(got, "day")
 
@@ -80,3 +81,9 @@ def test_feedback_adds_up_over_runs(spark, tmp_path):
         f"{folder}/c"
     )
     assert run() == [("2024-01-01", 2, 2), ("2024-01-02", 1, 1)]
+    # A job that starts over counts from nothing, also over what an emptied checkpoint has left.
+    name = hashlib.md5(str(tmp_path / "anew").encode()).hexdigest()
+    left = spark.createDataFrame([("2024-01-01", 50, 50)], "day string, up long, down long")
+    left.write.parquet(str(tmp_path / "out" / f"job-{name}" / "batch=7"))
+    assert run("anew") == [("2024-01-01", 2, 2), ("2024-01-02", 1, 1)]
+    assert run() == [("2024-01-01", 2, 2), ("2024-01-02", 1, 1)]
