@@ -34,6 +34,8 @@ END_ID = 2
 #: Words a worker remembers before it starts afresh.
 CACHE_WORDS = 1_000_000
 _JOINED = 2000
+# Punctuation that is one run behind letters; an apostrophe may begin a token of its own.
+_CLOSING = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 #: Keys in a part of the index, at most on average.
 PART_KEYS = 1_000_000
 _SLACK = 1.5
@@ -44,6 +46,19 @@ def _letters(word: bytes) -> bool:
     return word.isalpha() or word.decode().lower().isalpha()
 
 
+class _Known(dict):
+    """Packed ids by word; words that were asked for in vain are put into ``new``."""
+
+    def __init__(self):
+        self.new: set[bytes] = set()
+        self.missed = False
+
+    def __missing__(self, word: bytes) -> bytes:
+        self.new.add(word)
+        self.missed = True
+        return b""
+
+
 class WordEncoder:
     """Encodes texts word by word with a tokenizer that drops white space and marks word ends."""
 
@@ -57,22 +72,22 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.ends = np.zeros(size, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(end_mark)]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed."""
         split = [self._words((t or "").encode()) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known, out = self.known, []
-        for words in split:
-            try:
-                out.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                out.append(None)
-        new = [i for i, ids in enumerate(out) if ids is None]
-        self._learn({w for i in new for w in split[i] if w not in known})
-        for i in new:
+        known, out, again = self.known, [], []
+        for i, words in enumerate(split):
+            known.missed = False
+            out.append(b"".join(map(known.__getitem__, words)))
+            if known.missed:
+                again.append(i)
+        self._learn(known.new)
+        known.new = set()
+        for i in again:
             out[i] = b"".join(map(known.__getitem__, split[i]))
         return out
 
@@ -85,8 +100,12 @@ class WordEncoder:
     def _learn(self, words: set[bytes]) -> None:
         # A letter run and the punctuation behind it are separate tokens, if the letters stay letters
         # when lowered: some end in marks then, which go with the punctuation.
-        closed = {w for w in words if len(w) > 1 and w[-1:] in b".," and _letters(w[:-1])}
-        plain = (words - closed) | {w[:-1] for w in closed} | {w[-1:] for w in closed}
+        closed = {}
+        for w in words:
+            head = w.rstrip(_CLOSING)
+            if head and len(head) < len(w) and _letters(head) and not self.added.search(w, len(head)):
+                closed[w] = head, w[len(head):]
+        plain = (words - closed.keys()) | {part for parts in closed.values() for part in parts}
         plain = sorted(w for w in plain if w not in self.known)
         runs = [w for w in plain if _letters(w)]
         for i in range(0, len(runs), _JOINED):
@@ -94,15 +113,16 @@ class WordEncoder:
         for w in plain:
             if w not in self.known:
                 self.known[w] = self._ids(w.decode()).tobytes()
-        for w in closed:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+        for w, (head, tail) in closed.items():
+            self.known[w] = self.known[head] + self.known[tail]
 
     def _learn_runs(self, runs: list[bytes]) -> None:
         """Letter runs, encoded together; they are left to be encoded alone if ends do not fit."""
         ids = self._ids(b" ".join(runs).decode())
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(runs) and (not len(cuts) or cuts[-1] == len(ids)):
-            self.known.update(zip(runs, map(np.ndarray.tobytes, np.split(ids, cuts[:-1]))))
+            packed, ends = ids.tobytes(), (cuts * ids.itemsize).tolist()
+            self.known.update(zip(runs, (packed[a:b] for a, b in zip([0, *ends], ends))))
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)

@@ -314,6 +314,19 @@ def test_words_are_encoded_as_the_library_does():
         assert got == [library.encode(t, add_special_tokens=False).ids for t in part]
 
 
+def test_token_store_encodes_letters_and_their_closing_marks_apart():
+    own, library = token_store.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    ends = ["$$$", "!!", ",***", ".", "'s", "'", "<s>", "\u0338", "=\u0338", ")'t"]
+    texts = [f"{chr(97 + i)}ing{chr(97 + j)}{end}" for i in range(20) for j in range(20) for end in ends]
+    seen, encode = [], own._ids
+    own._ids = lambda text: seen.append(text) or encode(text)
+    found = own.encode([" ".join(texts), *texts])
+    for text, ids in zip([" ".join(texts), *texts], found):
+        assert np.frombuffer(ids, own.kind).tolist() == library.encode(text, add_special_tokens=False).ids
+    # 400 letter runs and four sorts of marks: never a call for each word with such marks.
+    assert not any(text.endswith(("$", "!", "*", ".")) and len(text) > 4 for text in seen)
+
+
 def test_token_store_numbers_a_key_over_several_shards(spark):
     rows = [(None, f"none {i}") for i in range(400)] + [(7, f"seven {i}") for i in range(60)]
     rows += [(8, "eight"), (9, "nine")]
