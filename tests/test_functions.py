@@ -21,6 +21,18 @@ def s(text):
     return ("string", text)
 
 
+def test_tokens_with_and_without_unspaced_letters(spark):
+    texts = ["Straße ÉTÉ x1 ٣٤ e\u0301t", "Ünï 々x ー音 ok", "\u2e80a b", "😀smile x😀y", "a_b-c"]
+    low = F.lower("t")
+    both = F.concat(*[
+        F.regexp_extract_all(low, F.lit(p), F.lit(g))
+        for p, g in ((TX._WORD, 0), (TX._PAIR, 1), (TX._SINGLE, 0))
+    ])
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", TX.tokens(F.col("t")).alias("found"), both.alias("each")).collect():
+        assert row.found == row.each, row.t
+
+
 @pytest.mark.parametrize(
     "text, expected",
     [
