@@ -242,6 +242,38 @@ def test_a_floor_drops_pairs_without_changing_the_ranking(spark):
     check(rows(got, "request_id", "rank"), brute_force(docs, asked, 1))
 
 
+@pytest.mark.parametrize("part_bytes", [48 << 20, 1])
+def test_blocks_are_exact_however_they_are_cut(spark, index, monkeypatch, part_bytes):
+    """Pairs of requests and passages stay in the task that scores their block."""
+    for name, value in {"BLOCK_ROWS": 7, "PAIRS": 0, "PART_BYTES": part_bytes}.items():
+        monkeypatch.setattr(text_search, name, value)
+    monkeypatch.setattr(text_search, "PART_FLOOR", 2000)
+    monkeypatch.setattr(text_search, "_found", None)
+    docs, asked = corpus()
+    requests = spark.createDataFrame(asked, "request_id int, text string")
+    got = text_topk(index, requests, 3)
+    check(rows(got.select("request_id", "rank", "id", "score"), "request_id", "rank"), brute_force(docs, asked, 3))
+    none = text_topk(index, requests, 3, allow=lambda: F.lit(False))
+    assert none.count() == 0
+
+
+def test_rare_tokens_are_dealt_and_frequent_ones_sent(spark, monkeypatch):
+    monkeypatch.setattr(TI, "COMMON_TOKENS", 5)
+    docs, _ = corpus()
+    df = spark.createDataFrame(docs, DOCS)
+    small = TI.build_text_index(df, new_path(spark, "t"), attributes=["applicable_tier"])
+    vocab = spark.createDataFrame([(f"t{i}", 1 << (20 - i), float(i)) for i in range(20)], "token string, df long, idf double")
+    asked = spark.createDataFrame([(f"t{i % 25}", i) for i in range(50)] + [(None, 50)], "token string, n int")
+    met = TI.with_idf(asked, vocab, F.lit(-1.0))
+    assert "BroadcastHashJoin" in plan(met) and "SortMergeJoin" in plan(met)
+    assert rows(met.select("n", "idf"), "n") == [(i, i % 25 if i % 25 < 20 else -1.0) for i in range(50)] + [(50, -1.0)]
+    assert rows(TI.with_idf(asked, vocab).select("n"), "n") == [(i,) for i in range(50) if i % 25 < 20]
+    monkeypatch.setattr(TI, "COMMON_TOKENS", 10**6)
+    large = TI.build_text_index(df, new_path(spark, "t"), attributes=["applicable_tier"])
+    by_id = lambda i: rows(TI.weights_by_id(i).withColumn("w", F.round("w", 9)), "id", "token")
+    assert by_id(small) == by_id(large)
+
+
 # -- generations ------------------------------------------------------------------------------------
 
 
