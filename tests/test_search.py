@@ -387,3 +387,34 @@ def test_scenarios(spark, question, expected):
     index = TI.build_text_index(cases, new_path(spark, "t"), "case_id")
     asked = spark.createDataFrame([(1, question)], "request_id int, text string")
     assert text_topk(index, asked, 3).orderBy("rank").first().id == expected
+
+
+def test_copies_of_a_text_are_dealt_once_a_task(spark):
+    texts = spark.createDataFrame([(b"u", "the same words")] * 500 + [(b"v", None), (b"v", "")], "unit binary, text string")
+    one = texts.coalesce(1)
+    assert rows(TI._without_copies(one).select("unit"), "unit") == [(b"u",), (b"v",)]
+    counts = TI._counted(one, 3)
+    # Texts are dealt by unit; no list of tokens is dealt again.
+    assert plan(counts).count("Exchange hashpartitioning") == 1
+    assert rows(counts.select("token", "tf"), "token") == [("same", 1), ("the", 1), ("words", 1)]
+
+
+def test_only_asked_tokens_have_champions(spark, index):
+    asked = spark.createDataFrame([(b"q", "w1", 1.0, 1.5, 9)], "asker binary, token string, qw double, idf double, df long")
+    found = text_search._champions(index, asked)
+    assert [r.token for r in found.select("token").distinct().collect()] == ["w1"]
+    top = index.tops.filter("token = 'w1'").first().top * 1.5
+    assert abs(found.agg(F.max("w")).first()[0] - top) < 1e-12
+    split = text_search._split(index, asked, lambda: F.lit(True), 1)
+    assert split.filter("token = 'w1'").count() == 1
+
+
+@pytest.mark.parametrize("limit", [10**8, 0])
+def test_passages_are_not_dealt_to_meet_the_ranked_rows(spark, tmp_path, limit):
+    spark.range(500).selectExpr("id AS k", "repeat('x', 100) AS answer").write.parquet(str(tmp_path / "p"))
+    passages = spark.read.parquet(str(tmp_path / "p"))
+    hits = spark.createDataFrame([(1, 5), (2, 5), (3, None), (4, 900)], "request_id int, id long")
+    found = text_search.with_passages(hits, passages, "k", "answer", limit=limit)
+    assert rows(found.select("request_id", "id"), "request_id") == [(1, 5), (2, 5)]
+    if limit:
+        assert "Exchange hashpartitioning" not in plan(found)
