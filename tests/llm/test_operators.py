@@ -239,6 +239,100 @@ def test_toxicity_learns_words_and_stems(spark, odd, empty):
     assert nothing is None and {r.score for r in toxicity.add_scores(odd, None).collect()} == {0.0}
 
 
+own_rng = random.Random(8)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A word that only rows behind the first 8,000 by the hash of the key show is learned."""
+    ids = [r.doc_id for r in spark.range(11000).withColumnRenamed("id", "doc_id")
+           .filter(~toxicity.held_out()).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").collect()]
+    late = set(ids[8000:])
+    assert len(late) > 500
+    rows = []
+    for i in range(11000):
+        words = own_rng.choices([f"w{n}" for n in range(50)], k=4)
+        new = i in late or i not in ids and i % 2 == 0
+        if bad := i % 3 == 0:
+            words.insert(own_rng.randrange(5), "zork" if new else "nasty")
+        rows.append((i, " ".join(words), "en", int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    held = toxicity.add_scores(docs, model).filter(toxicity.held_out()).collect()
+    assert any("zork" in r.text for r in held)
+    assert sum((r.score >= 0.5) == r.toxic for r in held) >= 0.98 * len(held)
+
+
+def test_toxicity_trained_in_parts(spark):
+    """Several parts learn together, and neither the order nor the place of rows matters."""
+    rows = []
+    for i in range(4000):
+        words = own_rng.choices([f"w{n}" for n in range(200)], k=own_rng.randrange(1, 30))
+        if bad := i % 4 == 0:
+            words.insert(own_rng.randrange(len(words) + 1), own_rng.choice(["nasty", f"stinkx{own_rng.randrange(99)}"]))
+        rows.append((i, " ".join(words), "en" if i % 3 else None, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    labels = docs.select("doc_id", "toxic")
+    docs = docs.drop("toxic")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n
+    models = [toxicity.fit(docs, labels, part_bytes=size // 6),
+              toxicity.fit(docs.unionAll(docs).orderBy(F.rand(3)), labels.repartition(3), part_bytes=size // 6)]
+    for name in ("words", "stems"):
+        assert all(np.array_equal(a, b) for a, b in zip(*[m.rows[name] for m in models]))
+    assert np.array_equal(models[0].weights, models[1].weights) and models[0].bias == models[1].bias
+    assert abs(models[0].threshold - models[1].threshold) < 1e-5 and set(models[0].thresholds) == set(models[1].thresholds) == {"en"}
+    held = toxicity.add_scores(docs, models[0]).filter(toxicity.held_out()).join(labels, "doc_id").collect()
+    assert sum((r.score >= 0.5) == r.toxic for r in held) >= 0.95 * len(held)
+
+
+def test_mean_of_models():
+    """A model unfolds to rows and back without loss; untouched embeddings stay."""
+    texts = [(np.array([i % 7, 9], np.int32), np.array([i % 3, 4], np.int32)) for i in range(40)]
+    start = toxicity.train(texts, np.arange(40) % 7 == 0, epochs=2)
+    then = toxicity.train(texts[:1], np.array([0.0]), epochs=1, start=start, turn=(1, 2))
+    table = toxicity._unfolded(then)
+    back = toxicity._folded(table.append_column("n", pa.array([1] * len(table))), start)
+    for name in ("words", "stems"):
+        known = dict(zip(start.rows[name][0].tolist(), start.rows[name][1].tolist()))
+        known |= dict(zip(then.rows[name][0].tolist(), then.rows[name][1].tolist()))
+        at, values = back.rows[name]
+        assert at.tolist() == sorted(known)
+        assert np.allclose(values, [known[i] for i in at.tolist()], atol=1e-12, rtol=0)
+    for a, b in zip([*then.filters, then.shifts, then.weights, then.bias], [*back.filters, back.shifts, back.weights, back.bias]):
+        assert np.allclose(a, b, atol=1e-12, rtol=0)
+
+
+def test_pieces_of_a_training_batch(monkeypatch):
+    """A batch taken in pieces gives the same step."""
+    texts = [tuple(own_rng.choices(range(50), k=n) for _ in range(2)) for n in [0, 1, 5, 30, 90, 2] * 12]
+    texts = [tuple(np.array(x, np.int32) for x in t) for t in texts]
+    marks = np.array([int(3 in t[0][:20]) for t in texts])
+    whole = toxicity.train(texts, marks, epochs=2)
+    monkeypatch.setattr(toxicity, "_PIECE", 40)
+    cut = toxicity.train(texts, marks, epochs=2)
+    assert np.allclose(whole.weights, cut.weights, atol=1e-3) and abs(whole.bias - cut.bias) < 1e-3
+    assert [len(p) for p in toxicity._pieces(np.arange(5), np.array([30, 30, 5, 90, 1]))] == [1, 2, 1, 1]
+
+
+def test_thresholds_are_the_best_ones(spark):
+    rows = [(own_rng.choice(["en", "de", "fr", None]), int(own_rng.random() < 0.4), round(own_rng.random(), 2)) for _ in range(400)]
+    rows = [(x, int(x == "de" and t or x != "fr" and s > 0.3 and t), s) for x, t, s in rows]
+
+    def slow(some):
+        cuts = sorted({0.0, 1.0} | {s for _, _, s in some})
+        f1 = {}
+        for a, b in zip(cuts, cuts[1:]):
+            hits, said = sum(t for _, t, s in some if s >= b), sum(s >= b for _, _, s in some)
+            f1[(a + b) / 2] = 2 * hits / max(said + sum(t for _, t, _ in some), 1)
+        return min((c for c in f1 if f1[c] >= max(f1.values()) - 1e-12), key=lambda c: (abs(c - 0.5), c))
+
+    scored = spark.createDataFrame(rows, "lang string, toxic int, score double")
+    overall, own = toxicity._best_thresholds(scored)
+    assert abs(overall - slow(rows)) < 1e-9
+    assert set(own) == {"en", "de"}
+    assert all(abs(own[x] - slow([r for r in rows if r[0] == x])) < 1e-9 for x in own)
+    assert toxicity._best_thresholds(scored.filter("toxic = 0")) == (None, {})
+
+
 def test_scores_equal_plain_loops():
     """The network's answer for whole texts, word by word and filter by filter."""
     texts = [t or "" for t in ODD[:14]] + [prose(n) for n in (1, 2, 3, 50)]
