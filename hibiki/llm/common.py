@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,6 +40,14 @@ def once(key: tuple, make: Callable):
     return kept[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python processes wait for later tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
 # -- files in the shared folder, whatever store it lies in ------------------------------------
 
 

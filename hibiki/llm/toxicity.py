@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hibiki.llm.common import prepare, span_hashes, text_bytes, word_spans
+from hibiki.llm.common import give_back, prepare, span_hashes, text_bytes, word_spans
 from hibiki.session import broadcast_if, bucket_table, new_path
 
 BUCKETS = 1 << 18
@@ -48,6 +48,8 @@ MAX_BUCKETS = 4096
 LABEL_BYTES, BROADCAST_BYTES = 32, 64 * 1024 * 1024
 #: Words whose responses are held at once in training; a longer text is a piece of its own.
 _PIECE = 1 << 17
+#: Words scored, or searched for the strongest places, at once; a longer text is taken alone.
+_STEP = 1 << 14
 #: Values are added up as whole numbers of this fraction, so that their order does not matter.
 _UNIT = 2.0 ** -40
 #: Toxic rows of a language that its own threshold takes.
@@ -113,6 +115,20 @@ def _responses(x: np.ndarray, filters: list[np.ndarray], begins: np.ndarray) ->
     return z
 
 
+def _strongest(x: np.ndarray, filters: list[np.ndarray], begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each filter says most in each text, and what; texts are taken some at a time."""
+    at, most, a = [], [], 0
+    while a < len(begins) - 1:
+        b = max(a + 1, int(np.searchsorted(begins, begins[a] + _STEP, "right")) - 1)
+        own = begins[a:b + 1] - begins[a]
+        z = _responses(x[begins[a]:begins[b]], filters, own)
+        best = np.stack([z[i:j].argmax(axis=0) + i for i, j in zip(own[:-1], own[1:])])
+        at.append(best + begins[a])
+        most.append(np.take_along_axis(z, best, axis=0))
+        a = b
+    return np.concatenate(at), np.concatenate(most)
+
+
 def _score(model: Model, words: np.ndarray, stems: np.ndarray, begins: np.ndarray, tables) -> np.ndarray:
     x = tables[0][words] + tables[1][stems]
     pooled = np.maximum.reduceat(_responses(x, model.filters, begins), begins[:-1], axis=0)
@@ -135,20 +151,42 @@ class _Adam:
         self.value[rows] -= (self.rate * m / (np.sqrt(v) + 1e-6)).astype(np.float32)
 
 
+def _used(texts: Sequence[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that texts use, in order, and the place of each; the empty place comes behind them."""
+    seen = np.zeros(BUCKETS + 1, bool)
+    for text in texts:
+        seen[text[k]] = True
+    seen[BUCKETS] = False
+    at, place = np.flatnonzero(seen), np.full(BUCKETS + 1, -1, np.int32)
+    place[at] = np.arange(len(at))
+    place[BUCKETS] = len(at)
+    return at, place
+
+
+def _drawn(rng: np.random.Generator, at: np.ndarray) -> np.ndarray:
+    """The rows ``at`` of a table of random embeddings, and a row of zeros; drawn some at a time."""
+    table, step = np.zeros((len(at) + 1, SIZE), np.float32), 1 << 12
+    for start in range(0, BUCKETS + 1, step):
+        drawn = rng.normal(0, 0.05, (min(step, BUCKETS + 1 - start), SIZE)).astype(np.float32)
+        a, b = np.searchsorted(at, [start, start + step])
+        table[a:b] = drawn[at[a:b] - start]
+    return table
+
+
 def train(
     texts: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS,
     batch: int = 32, seed: int = 7, start: Model | None = None, turn: tuple[int, ...] = (),
 ) -> Model:
     """Fit a model to texts given as (word buckets, stem buckets), from a model if one is given.
 
-    ``turn`` varies the order of the texts. The model holds the embeddings touched here.
+    ``turn`` varies the order of the texts. The model holds the embeddings touched here. Only those
+    that the texts use are held meanwhile.
     """
     rng = np.random.default_rng(seed)
     names = ("words", "stems")
-    tables = {n: _Adam(rng.normal(0, 0.05, (BUCKETS + 1, SIZE)).astype(np.float32), 0.02) for n in names}
-    touched = {n: np.zeros(BUCKETS + 1, bool) for n in names}
-    for n in names:
-        tables[n].value[BUCKETS] = 0
+    used = {n: _used(texts, k) for k, n in enumerate(names)}
+    tables = {n: _Adam(_drawn(rng, used[n][0]), 0.02) for n in names}
+    touched = {n: np.zeros(len(used[n][0]), bool) for n in names}
     total = FILTERS * len(WIDTHS)
     filters = [_Adam(rng.normal(0, 0.4, (w, SIZE, FILTERS)).astype(np.float32), 0.01) for w in WIDTHS]
     shifts = _Adam(np.zeros(total, np.float32), 0.01)
@@ -157,7 +195,8 @@ def train(
     if start is not None:
         for n in names:
             at, values = start.rows[n]
-            tables[n].value[at] = values
+            place = used[n][1][at]
+            tables[n].value[place[place >= 0]] = values[place >= 0]
         dense = [*start.filters, start.shifts, start.weights, np.array([start.bias], np.float32)]
         for own, value in zip([*filters, shifts, weights, bias], dense):
             own.value[...] = value
@@ -173,13 +212,10 @@ def train(
             for chosen in _pieces(groups[g], lengths):
                 first = np.concatenate([[0], np.cumsum(lengths[chosen])])
                 laid = [_laid_out(np.concatenate([texts[i][k] for i in chosen]), first) for k in (0, 1)]
-                ids, begins = {"words": laid[0][0], "stems": laid[1][0]}, laid[0][1]
+                ids, begins = {n: used[n][1][laid[k][0]] for k, n in enumerate(names)}, laid[0][1]
                 x = tables["words"].value[ids["words"]] + tables["stems"].value[ids["stems"]]
-                z = _responses(x, [f.value for f in filters], begins)
-                at = np.stack([
-                    z[a:b].argmax(axis=0) + a for a, b in zip(begins[:-1], begins[1:])
-                ])  # text, filter
-                pooled = np.take_along_axis(z, at, axis=0) + shifts.value
+                at, most = _strongest(x, [f.value for f in filters], begins)  # text, filter
+                pooled = most + shifts.value
                 hidden = np.maximum(pooled, 0)
                 p = 1 / (1 + np.exp(-np.clip(hidden @ weights.value + bias.value[0], -30, 30)))
                 delta = ((p - labels[chosen]) / len(groups[g])).astype(np.float32)
@@ -197,15 +233,15 @@ def train(
             for own, *parts in zip([*filters, shifts, weights, bias], *changes):
                 own.step(sum(parts[1:], parts[0]))
             pushes = np.concatenate(pushes)
-            used = np.abs(pushes).sum(axis=1) > 0
+            moved = np.abs(pushes).sum(axis=1) > 0
             for n in names:
-                rows, which = np.unique(np.concatenate(spots[n])[used], return_inverse=True)
+                rows, which = np.unique(np.concatenate(spots[n])[moved], return_inverse=True)
                 gradient = np.zeros((len(rows), SIZE), np.float32)
-                np.add.at(gradient, which, pushes[used])
-                real = rows < BUCKETS
+                np.add.at(gradient, which, pushes[moved])
+                real = rows < len(used[n][0])
                 tables[n].step(gradient[real], rows[real])
                 touched[n][rows[real]] = True
-    kept = {n: (np.flatnonzero(touched[n]), tables[n].value[touched[n]]) for n in names}
+    kept = {n: (used[n][0][touched[n]], tables[n].value[:-1][touched[n]]) for n in names}
     return Model(kept, [f.value for f in filters], shifts.value, weights.value, float(bias.value[0]))
 
 
@@ -270,11 +306,15 @@ def _round(rows: DataFrame, start: Model | None, epochs: int, turn: tuple[int, .
     shared = rows.sparkSession.sparkContext.broadcast(start)
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
-        part = part.sort_by([("order", "ascending"), ("h", "ascending")])
+        # Sorted are the rows' places, so that their words are not copied.
+        order = np.lexsort([part.column(c).to_numpy() for c in ("h", "order")])
         cut = [[np.frombuffer(v.as_buffer(), np.int32) for v in part.column(c)] for c in ("words", "stems")]
-        marks = part.column("toxic").to_numpy().astype(np.float32)
+        cut = [[column[i] for i in order] for column in cut]
+        marks = part.column("toxic").to_numpy()[order].astype(np.float32)
         own = (*turn, key[0].as_py()) if turn else ()
-        return _unfolded(train(list(zip(*cut)), marks, epochs, start=shared.value, turn=own))
+        found = _unfolded(train(list(zip(*cut)), marks, epochs, start=shared.value, turn=own))
+        give_back()
+        return found
 
     models = rows.groupBy("part").applyInArrow(run, f"kind int, row int, {_PLACES}")
     sums = models.groupBy("kind", "row").agg(
@@ -338,6 +378,7 @@ def _features_table(rows: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], cut(found), cut(stems)], ["part", "order", "h", "toxic", "words", "stems"]
             )
+        give_back()
 
     columns = "part int, order long, h long, toxic int, words binary, stems binary"
     found = once.select("t", "part", "order", "h", "toxic").mapInArrow(run, columns)
@@ -396,10 +437,6 @@ def _score_texts(model: Model, texts, tables) -> np.ndarray:
     return _score(model, words, stems, begins, tables)
 
 
-#: Words scored at once; longer texts are scored alone.
-_STEP = 1 << 14
-
-
 def add_scores(
     docs: DataFrame, model: Model | None, column: str = "score", text: str = "text",
     keep: Sequence[str] | None = None,
@@ -424,6 +461,8 @@ def add_scores(
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(scores.round(6))], [*keep, column]
             )
+        del tables
+        give_back()
 
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(column, T.DoubleType())])
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)

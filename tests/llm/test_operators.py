@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -313,6 +314,17 @@ def test_pieces_of_a_training_batch(monkeypatch):
     assert [len(p) for p in toxicity._pieces(np.arange(5), np.array([30, 30, 5, 90, 1]))] == [1, 2, 1, 1]
 
 
+def test_training_holds_little():
+    """Memory follows what the texts use, not all buckets, and not a whole batch of long texts."""
+    draw = np.random.default_rng(3)
+    texts = [tuple(draw.integers(0, 3000, 4000).astype(np.int32) for _ in range(2)) for _ in range(64)]
+    tracemalloc.start()
+    model = toxicity.train(texts, np.arange(64) % 5 == 0, epochs=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6 and all(0 < len(model.rows[name][0]) <= 3000 for name in ("words", "stems"))
+
+
 def test_thresholds_are_the_best_ones(spark):
     rows = [(own_rng.choice(["en", "de", "fr", None]), int(own_rng.random() < 0.4), round(own_rng.random(), 2)) for _ in range(400)]
     rows = [(x, int(x == "de" and t or x != "fr" and s > 0.3 and t), s) for x, t, s in rows]
