@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from hibiki.operators import text_index as TI
@@ -257,6 +258,52 @@ def test_blocks_are_exact_however_they_are_cut(spark, index, monkeypatch, part_b
     assert none.count() == 0
 
 
+def test_a_task_passes_on_one_best_and_no_copy_of_the_postings_is_written(spark, index, monkeypatch):
+    written = []
+    write_out = text_search.write_out
+    monkeypatch.setattr(text_search, "write_out", lambda df, name, *by: (written.append(name), write_out(df, name, *by))[1])
+    for name, value in {"BLOCK_ROWS": 7, "PART_BYTES": 1, "PART_FLOOR": 2000, "PAIRS": 0, "JUDGED_REQUESTS": 3}.items():
+        monkeypatch.setattr(text_search, name, value, raising=False)
+    docs, asked = corpus()
+    requests = spark.createDataFrame(asked, "request_id int, text string")
+    got = text_topk(index, requests, 3).select("request_id", "rank", "id", "score")
+    check(rows(got, "request_id", "rank"), brute_force(docs, asked, 3))
+    assert "scored" in written and "passages" not in written
+    monkeypatch.setattr(text_search, "PART_BYTES", 48 << 20)
+    named = requests.select(TI.unit_of(F.col("text"), []).alias("asker"), "text").distinct()
+    split = text_search._request_tokens(index, named, []).withColumn("floor", F.lit(0.0))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = text_search._in_blocks(index, split, [Row(mine="", theirs="")], [], 3, 10**8)
+        most = found.groupBy("asker", F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert most == 3
+
+
+@pytest.mark.parametrize("mode, judged", [("prefilter", 3), ("prefilter", 10**6), ("postfilter", 3)])
+def test_tiers_are_exact_with_and_without_floors_by_champions(spark, index, monkeypatch, mode, judged):
+    for name, value in {"BLOCK_ROWS": 16, "PAIRS": 0, "JUDGED_REQUESTS": judged, "DENSE_SHARE": 0.05, "CHUNK": 4}.items():
+        monkeypatch.setattr(text_search, name, value)
+    champions, sent = text_search._champions, []
+    monkeypatch.setattr(text_search, "_champions", lambda i, a: (sent.append(a.select("asker").distinct().count()), champions(i, a))[1])
+    docs, asked = corpus()
+    asked = [(*q, ["gold", "silver", "standard"][q[0] % 3]) for q in asked]
+    requests = spark.createDataFrame(asked, "request_id int, text string, customer_tier string")
+    got = tiered_topk(index, requests, 3, mode=mode).select("request_id", "rank", "id", "score")
+    fits = lambda q, d: d[2] in ("all", q[2])
+    if mode == "prefilter":
+        wanted = brute_force(docs, asked, 3, fits)
+    else:
+        tier = {d[0]: d for d in docs}
+        first, wanted = brute_force(docs, asked, 6), []
+        for q in asked:
+            kept = [r for r in first if r[0] == q[0] and fits(q, tier[r[2]])][:3]
+            wanted += [(r[0], n, *r[2:]) for n, r in enumerate(kept, 1)]
+    check(rows(got, "request_id", "rank"), sorted(wanted))
+    assert max(sent) < 15 if judged == 3 else max(sent) > 20
+
+
 def test_rare_tokens_are_dealt_and_frequent_ones_sent(spark, monkeypatch):
     monkeypatch.setattr(TI, "COMMON_TOKENS", 5)
     docs, _ = corpus()
