@@ -3,7 +3,10 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -304,6 +307,54 @@ def test_tiers_are_exact_with_and_without_floors_by_champions(spark, index, monk
     assert max(sent) < 15 if judged == 3 else max(sent) > 20
 
 
+@pytest.mark.parametrize("share, k, rows_", [(0.05, 3, 5), (2.0, 1, 50), (0.0, 6, 10**6)])
+def test_a_task_scores_its_blocks_exactly(monkeypatch, share, k, rows_):
+    """What a task passes on, however its passages are cut, and whichever tokens are multiplied as matrices."""
+    for name, value in {"BLOCK_ROWS": rows_, "BLOCK_POSTINGS": 40, "CHUNK": 4, "DENSE_SHARE": share}.items():
+        monkeypatch.setattr(text_search, name, value)
+    rng = np.random.default_rng(5)
+    held = [(bytes([i]), int(rng.integers(40)), "ab"[i % 2], f"t{t}", float(rng.integers(1, 9)) / 16)
+            for i in range(200) for t in sorted(rng.choice(30, rng.integers(1, 9), False))]
+    doc = {}
+    held = [(u, doc.setdefault(u, n), kind, t, w) for u, n, kind, t, w in held]
+    kinds = ["a", "b", "c"] * 4
+    asked = [{f"t{t}": float(rng.integers(1, 9)) / 16 for t in rng.choice(25, rng.integers(1, 7), False)} for _ in kinds]
+    names = [f"t{t}" for t in range(25)]
+    pairs = {("a", "a"), ("b", "a"), ("b", "b")}
+    asks = {
+        "asker": [b"q%d" % i for i in range(12)], "kind": kinds, "floor": np.zeros(12), "pairs": pairs,
+        "ends": np.cumsum([0] + [len(q) for q in asked]), "number": np.array([names.index(t) for q in asked for t in q], np.int32),
+        "qw": np.array([w for q in asked for w in q.values()]), "tokens": pa.array(names), "idf": np.full(25, 1.5),
+    }
+    schema = pa.schema([("unit", pa.binary()), ("doc", pa.int64()), ("kind", pa.string()), ("token", pa.string()), ("w", pa.float64())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in held[i:i + 7]], schema)
+               for i in range(0, len(held), 7)]
+    got = [r for b in text_search._scorer(SimpleNamespace(value=asks), k)(iter(batches)) for r in b.to_pylist()]
+    wanted = []
+    for i, q in enumerate(asked):
+        sums = Counter()
+        for u, n, kind, t, w in held:
+            if t in q and (kinds[i], kind) in pairs:
+                sums[u] += q[t] * w * 1.5
+        best = sorted((-round(x, 6), doc[u]) for u, x in sums.items())[:k]
+        wanted += [(b"q%d" % i, x, n) for x, n in best]
+    assert sorted((r["asker"], -r["score"], r["doc"]) for r in got) == sorted(wanted)
+
+
+def test_tokens_are_counted_in_runs_sorted_by_token(spark, monkeypatch):
+    """No second grouping by token; sorting a bucket only merges runs."""
+    monkeypatch.setattr(TI, "COUNTED_TOKENS", 40)
+    texts = ["b a b", "", "\u6f22\u5b57\u304b b", "c" * 50, "z y x y", "\u00e9t\u00e9 a", *[f"w{i % 7} w{i % 3} q" for i in range(60)]]
+    df = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "unit binary, text string")
+    counted = TI._counted(df, 1)
+    assert "token" not in "".join(re.findall(r"HashAggregate.*", plan(counted)))
+    got = [tuple(r) for r in counted.collect()]
+    wanted = df.select("unit", F.explode(text_search.tokens(F.col("text"))).alias("token")).groupBy("unit", "token").count()
+    assert sorted((bytes(u), t, n) for u, t, n in got) == sorted((bytes(u), t, n) for u, t, n in wanted.collect())
+    falls = sum(a[1].encode() > b[1].encode() for a, b in zip(got, got[1:]))
+    assert 0 < falls <= 6
+
+
 def test_rare_tokens_are_dealt_and_frequent_ones_sent(spark, monkeypatch):
     monkeypatch.setattr(TI, "COMMON_TOKENS", 5)
     docs, _ = corpus()
