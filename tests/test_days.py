@@ -244,3 +244,26 @@ def test_texts_by_vector_and_tier(spark):
     assert VT.tiered_vector_topk(stored, asked.limit(0), 2).isEmpty()
     with pytest.raises(ValueError):
         VT.tiered_vector_topk(stored, asked, mode="other")
+
+
+def test_codes_are_sent_to_the_queries_in_parts(spark, monkeypatch):
+    """No row per query and cell is written, and no estimates but each query's best in a part."""
+    written, write_out = {}, VT.write_out
+
+    def kept(df, name, *by):
+        table = write_out(df, name, *by)
+        written.setdefault(name, []).append(table)
+        return table
+
+    data = clusters(900) + [(2000 + i, clusters(1)[0][1], "all") for i in range(80)]  # one vector many times
+    table = spark.createDataFrame(data, "id int, vector array<float>, tier string")
+    stored = VT.store_vectors(table, new_path(spark, "v"), block_rows=50)
+    queries = table.filter("id < 60").select(F.col("id").alias("request_id"), "vector")
+    once = rows(VT.approximate_topk(stored, queries, 3, probes=1.0, rerank=40), "request_id", "rank")
+    monkeypatch.setattr(VT, "write_out", kept)
+    monkeypatch.setattr(VT, "CODE_BYTES", 300 * 80, raising=False)
+    parts = rows(VT.approximate_topk(stored, queries, 3, probes=1.0, rerank=40, chunk_queries=7), "request_id", "rank")
+    assert parts == once == rows(vector_topk(table, queries, 3), "request_id", "rank")
+    assert "visits" not in written and len(written["estimated"]) > 2
+    most = [t.groupBy("q").count().agg(F.max("count")).first()[0] for t in written["estimated"]]
+    assert max(most) <= 120
