@@ -355,6 +355,22 @@ def test_tokens_are_counted_in_runs_sorted_by_token(spark, monkeypatch):
     assert 0 < falls <= 6
 
 
+def test_requests_with_one_text_are_one_search(spark, index, monkeypatch):
+    """Attributes that decide nothing do not make a text another search; those that do, do."""
+    searched, real = [], text_search._best
+    monkeypatch.setattr(text_search, "_best", lambda i, asked, *a: (
+        searched.append(asked.select("asker").distinct().count()), real(i, asked, *a))[1])
+    requests = spark.createDataFrame(
+        [(i, "w0 w5 w9 copied", f"c{i}") for i in range(6)], "request_id int, text string, customer string"
+    )
+    got = rows(text_topk(index, requests, 2, attributes=["customer"]), "request_id", "rank")
+    alone = rows(text_topk(index, requests, 2), "request_id", "rank")
+    assert [r[:1] + r[2:] for r in got] == alone and [r[1] for r in got[::2]] == [f"c{i}" for i in range(6)]
+    mine = text_topk(index, requests, 2, attributes=["customer"], allow=lambda: F.col("customer") <= "c2")
+    assert {r[0] for r in rows(mine, "request_id")} == {0, 1, 2}
+    assert searched == [1, 1, 6]
+
+
 def test_rare_tokens_are_dealt_and_frequent_ones_sent(spark, monkeypatch):
     monkeypatch.setattr(TI, "COMMON_TOKENS", 5)
     docs, _ = corpus()
